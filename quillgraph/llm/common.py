@@ -53,8 +53,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         )
         nxt = materialize(small, "cc")
         # Done when every node hangs on one root that hangs on nothing itself.
-        roots = nxt.select("a").distinct()
-        open_ = nxt.join(roots, nxt["b"] == roots["a"], "left_semi").limit(1).count()
+        roots = nxt.select(F.col("a").alias("b")).distinct()
+        open_ = nxt.join(roots, "b", "left_semi").limit(1).count()
         multi = nxt.groupBy("b").count().where("count > 1").limit(1).count() if not open_ else 1
         release(pairs)
         pairs = nxt
