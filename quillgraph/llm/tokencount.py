@@ -44,7 +44,9 @@ class TrieCounter(dict):
     def __init__(self, scores: dict[str, float], max_nodes: int = 400_000, max_words: int = 400_000):
         super().__init__()
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # Every suffix of a piece, with its score if it is a piece itself: the search for last pieces stops
+        # at the first string that ends no piece.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.max_nodes, self.max_words = max_nodes, max_words
         self._empty()
@@ -59,18 +61,19 @@ class TrieCounter(dict):
         if len(self) >= self.max_words:
             self.clear()
         text, node, path = SPACE + word, 0, [0]
-        kids, best, count, scores, longest = self.kids, self.best, self.count, self.scores, self.longest
+        kids, best, count, ends = self.kids, self.best, self.count, self.ends
         for at, ch in enumerate(text):
             nxt = kids.get((node, ch))
             if nxt is None:
-                # Earlier starts first and strictly better only: ties go to the longest last piece.
                 top, n = -math.inf, 0
-                for start in range(max(0, at + 1 - longest), at + 1):
-                    s = scores.get(text[start : at + 1])
-                    if s is not None and best[path[start]] + s > top:
-                        top, n = best[path[start]] + s, count[path[start]] + 1
-                if ch not in scores and best[node] + self.unknown > top:
+                if ends.get(ch) is None:
                     top, n = best[node] + self.unknown, count[node] + len(ch.encode())
+                start = at
+                # From short last pieces to long ones; ties go to the longest.
+                while start >= 0 and (s := ends.get(text[start : at + 1], self)) is not self:
+                    if s is not None and best[path[start]] + s >= top:
+                        top, n = best[path[start]] + s, count[path[start]] + 1
+                    start -= 1
                 nxt = kids[node, ch] = len(best)
                 best.append(top)
                 count.append(n)
