@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import components, words
+from quillgraph.llm.common import components, forget_shuffles, words
 from quillgraph.session import materialize, release
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ BROADCAST_IDS = 2_000_000
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -296,9 +296,8 @@ def link_documents(
     matrix = (
         grouped.select("g", "sh")
         .mapInArrow(_matrix(hot, num, den, k), "token long, g long, lo int, hi int")
-        .groupBy("token", "g")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
+    # A group may have several rows of a token, from different tasks: counts are then too high, never too low.
     left = matrix.select("token", F.col("g").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
     right = matrix.select("token", F.col("g").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     pairs = materialize(
@@ -311,6 +310,8 @@ def link_documents(
         .select("a", "b"),
         "pairs",
     )
+    del matrix, left, right
+    forget_shuffles(spark)
     ids = materialize(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
     wanted = materialize(_with_ids(grouped, "g", ids, "left_semi"), "wanted")
     sizes = wanted.groupBy("g").agg(F.ceil(F.count("*") / part).alias("parts"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import chatformat, decontaminate, langid, ngramjoin, pii, tokencount, vectordedup
+from quillgraph.llm import chatformat, decontaminate, langid, lmscore, ngramjoin, pii, tokencount, vectordedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.op7(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
         "op5_vector_dedup": op5_vector_dedup,
+        "op6_lm_score": op6_lm_score,
         "op7_ngram_join": op7_ngram_join,
         "op9_chat_format": op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
