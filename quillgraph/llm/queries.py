@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import chatformat, decontaminate, langid, lmscore, ngramjoin, pii, tokencount, vectordedup
+import corpus_pipeline
+from quillgraph.llm import chatformat, decontaminate, langid, linededup, lmscore, mixing, ngramjoin, pii, tokencount, vectordedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op3(_table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4(_table(spark, sf_dir, "documents"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -37,6 +42,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.op7(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op8(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.op9(_table(spark, sf_dir, "conversations"))
 
@@ -50,13 +59,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
+        "op4_mix_sources": op4_mix_sources,
         "op5_vector_dedup": op5_vector_dedup,
         "op6_lm_score": op6_lm_score,
         "op7_ngram_join": op7_ngram_join,
+        "op8_line_dedup": op8_line_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mix_sources": f"WITH {mixing.sql('documents')} SELECT doc_id, topic, n_tokens, round(prob, 6) AS prob, round(weight, 6) AS weight, sampled FROM mix_rows",
+        "op8_line_dedup": f"""WITH {linededup.SQL.format(docs="documents")}
+            SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN clean END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+            FROM documents d LEFT JOIN line_kept k ON d.text = k.text""",
+    }
