@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +45,29 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Inside, at most so many rows cross to Python at a time: for wide rows that bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def materialize(df: DataFrame, label: str = "t", rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there.
 
-    The table goes when the Python process ends, or earlier with release().
+    The table goes when the Python process ends, or earlier with release(). rows: see arrow_rows().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        # Small row groups keep the writers' buffers small beside the Python workers.
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     _left.append((spark, path))
