@@ -40,9 +40,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def postings(rows: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """(key, lexeme, weight) with a lexeme's largest field weight; one shuffle-free explode of distinct tokens."""
-    parts = [
-        F.transform(tokens(F.col(c), False), lambda t, w=w: F.struct(t.alias("lexeme"), F.lit(w).alias("weight"))) for c, w in fields.items()
-    ]
+
+    def weighed(column: str, weight: float) -> Column:
+        return F.transform(tokens(F.col(column), False), lambda t: F.struct(t.alias("lexeme"), F.lit(weight).alias("weight")))
+
+    parts = [weighed(c, w) for c, w in fields.items()]
     return (
         rows.select(key, F.explode(F.concat(*parts)).alias("p"))
         .select(key, "p.lexeme", "p.weight")
