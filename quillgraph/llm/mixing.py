@@ -47,12 +47,11 @@ def rake(cells: DataFrame, rounds: int = 8, temper: float = 0.7) -> DataFrame:
         norm = shares.agg(F.sum(f"t_{m}")).first()[0] or 1.0
         out = out.join(shares.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm)), m)
     out = materialize(out, "cells")
-    for r in range(rounds):
+    for _ in range(rounds):
         for m in MARGINS:
             sums = out.groupBy(m).agg(F.sum("w").alias("s"))
-            out = out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s")
-        if r % 2 == 1 or r == rounds - 1:
-            out = materialize(out, "cells")
+            # A small table each time: the next step reads it twice, so the plan must not grow.
+            out = materialize(out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s"), "cells")
     return out.select(*MARGINS, "tokens", "w")
 
 
