@@ -81,11 +81,25 @@ def step(p: Params, h: np.ndarray, e: np.ndarray):
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the log of the sum that divides them."""
+    """Probabilities, in the place of x, and the log of the sum that divides them."""
     top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (top + np.log(s))[:, 0]
+    x -= top
+    np.exp(x, out=x)
+    s = x @ np.ones((x.shape[1], 1), F32)
+    x /= s
+    return x, (top + np.log(s))[:, 0]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log sum exp of each row; x is used up."""
+    top = x.max(initial=-np.inf)
+    first = np.exp(x - top)
+    s = (first @ np.ones((x.shape[1], 1), F32))[:, 0]
+    out = top + np.log(np.maximum(s, F32(1e-37)))
+    for i in np.flatnonzero(s < 1e-20):  # a row far below the others: by its own largest
+        own = x[i].max()
+        out[i] = own + np.log(np.exp(x[i] - own).sum())
+    return out
 
 
 def outputs(p: Params, shape: Shape, hs: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: Params | None = None):
@@ -95,10 +109,14 @@ def outputs(p: Params, shape: Shape, hs: np.ndarray, cls: np.ndarray, word: np.n
     """
     logits = hs @ p["Wc"] + p["bc"]
     rows = np.arange(len(hs))
-    probs, total = _softmax(logits)
-    logp = logits[rows, cls] - total
     dh = None
-    if grads is not None:
+    if grads is None:
+        logp = logits[rows, cls]
+        logp -= _log_sum(logits)
+    else:
+        logp = logits[rows, cls]
+        probs, total = _softmax(logits)
+        logp -= total
         probs[rows, cls] -= 1
         grads["Wc"] += hs.T @ probs
         grads["bc"] += probs.sum(0)
@@ -112,10 +130,13 @@ def outputs(p: Params, shape: Shape, hs: np.ndarray, cls: np.ndarray, word: np.n
         w = p["Wo"][lo : lo + shape.per_class]
         x = hs[at]
         inner = x @ w.T + p["bo"][lo : lo + shape.per_class]
-        probs, total = _softmax(inner)
         mine = np.arange(len(at))
-        logp[at] += inner[mine, word[at]] - total
-        if grads is not None:
+        chosen = inner[mine, word[at]]
+        if grads is None:
+            logp[at] += chosen - _log_sum(inner)
+        else:
+            probs, total = _softmax(inner)
+            logp[at] += chosen - total
             probs[mine, word[at]] -= 1
             grads["Wo"][lo : lo + shape.per_class] += probs.T @ x
             grads["bo"][lo : lo + shape.per_class] += probs.sum(0)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -96,8 +97,8 @@ class Lexicon:
         """(dictionary index or -1, far words, (inp, cls, word)) of a text's words and its end."""
         w = words(text)
         w.append(END)
-        get, s = self.index.get, self.shape
-        ids = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
+        s = self.shape
+        ids = np.fromiter(map(self.index.get, w, repeat(-1)), np.int32, len(w))
         cls, word, inp = self.cls[ids], self.word[ids], self.inp[ids]
         far_at = np.flatnonzero(ids < 0)
         far = [w[i] for i in far_at]
