@@ -230,7 +230,11 @@ def _joined(spans):
 def op2(docs: DataFrame) -> DataFrame:
     """The contract's digest of find_pii."""
     found = find_pii(docs)
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,
