@@ -201,10 +201,12 @@ def identify(
 
 def keep_identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
     """Documents in a learned language; rejected are `und` and texts nearer to no language than to any."""
-    names = docs.columns
-    found = identify(docs.toDF(*names), docs.where(fold_of("doc_id") != 0))
-    keep = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return keep.select(*[F.col(f"`{c}`") for c in names])
+    n = len(docs.columns)
+    at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang")}
+    plain = docs.toDF(*[f"c{i}" for i in range(n)])
+    columns = {"id_col": at["doc_id"], "text_col": at["text"], "lang_col": at["lang"]}
+    found = identify(plain, plain.where(fold_of(at["doc_id"]) != 0), **columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
