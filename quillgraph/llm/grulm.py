@@ -125,8 +125,8 @@ def outputs(p: Params, shape: Shape, hs: np.ndarray, cls: np.ndarray, word: np.n
     order = order[cls[order] < shape.head_classes]
     sorted_cls = cls[order]
     edges = np.flatnonzero(np.concatenate(([True], sorted_cls[1:] != sorted_cls[:-1]))) if len(order) else np.zeros(0, np.int64)
-    for s, e in zip(edges, [*edges[1:], len(order)], strict=True):
-        at, lo = order[s:e], sorted_cls[s] * shape.per_class
+    for s, e in zip(edges, np.append(edges, len(order))[1:], strict=True):
+        at, lo = order[s:e], int(sorted_cls[s]) * shape.per_class
         w = p["Wo"][lo : lo + shape.per_class]
         x = hs[at]
         inner = x @ w.T + p["bo"][lo : lo + shape.per_class]
