@@ -691,3 +691,134 @@ def cl4(spark, sf):
 @query("cl14_best_mapping")
 def cl14(spark, sf):
     return cluster.best_mapping(*_labelings(spark, sf))
+
+
+@query("fn12_minimal_embed_text", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '[' || p_type || '] ' ELSE '' END || p_name || ' in ' || p_brand || '.cc' AS t FROM part")
+def fn12(spark, sf):
+    kind = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("")
+    return table(spark, sf, "part").select("p_partkey", scalars.minimal_embed_text(kind, F.col("p_name"), F.lit(""), F.concat("p_brand", F.lit(".cc"))).alias("t"))
+
+
+@query("fn20_function_name", "SELECT s_suppkey, 'Shop::~run_' || s_suppkey AS name FROM supplier")
+def fn20(spark, sf):
+    d = F.concat(F.lit("static const char *Shop::~run_"), _key("s_suppkey"), F.lit(" (int a, char b)"))
+    return table(spark, sf, "supplier").select("s_suppkey", scalars.function_name(d).alias("name"))
+
+
+@query("fn21_dependency_summary", "SELECT p_partkey, '- ' || p_type || ' ' || p_name || CASE WHEN p_size > 10 THEN ': ' || p_brand ELSE '' END AS line FROM part")
+def fn21(spark, sf):
+    brief = F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise("")
+    return table(spark, sf, "part").select("p_partkey", scalars.dependency_summary(F.col("p_type"), F.col("p_name"), brief).alias("line"))
+
+
+@query("fn23_has_documentation", "SELECT doc_id, quality IS NOT NULL OR (coalesce(lang, '') <> '' AND coalesce(source, '') <> '' AND doc_id % 2 = 0) AS ok FROM documents LEFT JOIN labels USING (doc_id)")
+def fn23(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(scalars.has_documentation(_key("quality"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source"))), F.lit(False)).alias("ok"))
+
+
+@query("j7_body_entity", """WITH c AS (SELECT DISTINCT l_partkey AS node, l_suppkey AS entity, l_suppkey % 3 = 0 AS ext, l_suppkey % 5 = 0 AS body FROM lineitem), r AS (SELECT *, CASE WHEN NOT ext AND count(*) FILTER (WHERE NOT ext) OVER (PARTITION BY node) = 1 THEN 0 WHEN body THEN 1 WHEN entity % 2 = 0 THEN 2 ELSE 3 END AS k FROM c),
+  b AS (SELECT node, entity, k AS rank FROM r QUALIFY row_number() OVER (PARTITION BY node ORDER BY k, entity) = 1)
+  SELECT p_partkey AS node, CASE WHEN rank < 3 THEN entity END AS entity, CASE WHEN rank < 3 THEN rank END AS rank FROM part LEFT JOIN b ON p_partkey = node""")
+def j7(spark, sf):
+    s = F.col("l_suppkey")
+    c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("node"), s.alias("entity"), (s % 3 == 0).alias("extern"), (s % 5 == 0).alias("on_body"), F.when(s % 2 == 0, "a.cc").otherwise("a.hh").alias("path")).distinct()
+    return etl.body_entity(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), c)
+
+
+@query("nb3_entry_points", "SELECT c_custkey AS entity_id, 'do_' || c_custkey AS short_name, 'do_' AS entry_type FROM customer WHERE c_nationkey % 3 = 0")
+def nb3(spark, sf):
+    name = F.concat(F.when(F.col("c_nationkey") % 3 == 0, "do_").otherwise("get_"), _key("c_custkey"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.lit("function").alias("kind"), name.alias("name"), F.concat(F.lit("void "), name, F.lit("(int)")).alias("signature"))
+    return capability.entry_points(rows)
+
+
+@query("nb5_locked_groups", f"""WITH {_CENTRES}, best AS (SELECT vec_id, CASE WHEN s >= 0.4 THEN label::VARCHAR ELSE 'uncategorized' END AS grp FROM (
+  SELECT vec_id, cent.label, list_cosine_similarity(embedding::DOUBLE[], c) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], c) DESC, cent.label::VARCHAR) AS r FROM embeddings, cent) WHERE r = 1)
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'locked' ELSE grp END AS grp FROM best""")
+def nb5(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    centres = cluster.group_sums(rows, "vec_id", "label", "embedding").select(_key("grp").alias("grp"), F.col("total").alias("centre"))
+    locked = rows.where("vec_id % 7 = 0").select("vec_id", F.lit("locked").alias("grp"))
+    return capability.classify(rows, centres, "vec_id", "embedding", locked=locked).select("vec_id", "grp")
+
+
+@query("nb6_member_ranking", f"WITH {_PEERS} SELECT vec_id AS key, label AS grp, round(m, 6) AS mean, rank() OVER (PARTITION BY label ORDER BY round(m, 9) DESC) AS position FROM peers")
+def nb6(spark, sf):
+    p = cluster.peer_similarity(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
+    w = Window.partitionBy("grp").orderBy(F.desc(F.round("mean", 9)))
+    return p.select("key", "grp", F.round("mean", 6).alias("mean"), F.rank().over(w).alias("position"))
+
+
+@query("nb7_cohesion_summary", f"WITH {_PEERS} SELECT label AS grp, count(*) AS n, round(avg(m), 4) AS mean FROM peers GROUP BY label")
+def nb7(spark, sf):
+    return cluster.mean_cohesion(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").select("grp", "n", F.round("mean", 4).alias("mean"))
+
+
+@query("nb4_depth_distribution", f"""WITH RECURSIVE {CALLS_SQL}, walk AS (SELECT 's:' || s_suppkey AS seed, 's:' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 1
+  UNION SELECT seed, dst, depth + 1 FROM walk JOIN calls ON src = node WHERE depth < 3), least AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY ALL)
+  SELECT depth, count(*) AS pairs, count(DISTINCT node) AS nodes FROM least WHERE depth > 0 GROUP BY depth""")
+def nb4(spark, sf):
+    seeds = table(spark, sf, "supplier").where("s_nationkey = 1").select(F.concat(F.lit("s:"), _key("s_suppkey")).alias("node"))
+    reached = graph.traverse(calls(spark, sf), seeds, 3).where("depth > 0")
+    return reached.groupBy("depth").agg(F.count("*").alias("pairs"), F.countDistinct("node").alias("nodes"))
+
+
+@query("ev3_rerank", """WITH pool AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, o_totalprice AS a, length(o_orderpriority) * 20000.0 AS b FROM orders)
+  SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY ord, id) AS rank_before, row_number() OVER (PARTITION BY query ORDER BY greatest(a, b) DESC, least(a, b) DESC, id) AS rank_after FROM pool""")
+def ev3(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pool = table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), F.row_number().over(w).alias("ord"), F.col("o_totalprice").alias("doc_score"), (F.length("o_orderpriority") * 20000.0).alias("symbol_score"))
+    return evaluate.rerank(pool).select("query", "id", "rank_before", "rank_after")
+
+
+@query("src13_slice_source", """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS h FROM lines WHERE n BETWEEN 2 AND 4 GROUP BY doc_id""")
+def src13(spark, sf):
+    from quillgraph.sources.artifacts import slice_source
+
+    docs = table(spark, sf, "documents").where("text is not null")
+    lines = docs.select(_key("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).alias("line"), "text")
+    ents = docs.select("doc_id", _key("doc_id").alias("body_file"), F.lit(2).alias("body_start"), F.lit(3).alias("body_end"))
+    return slice_source(ents, lines, "doc_id", after=1).select("doc_id", F.md5("source_text").alias("h"))
+
+
+@query("snk8_comment_block", """SELECT p_partkey, '/**' || chr(10) || ' * @fn ' || p_name || chr(10) || ' * @brief ' || p_type || chr(10) || ' * ' || chr(10) || ' * @param ' || p_brand || ' ' || p_size || chr(10) || ' * ' || chr(10) || ' * @return ' || p_brand || chr(10) || ' */' AS comment FROM part""")
+def snk8(spark, sf):
+    from quillgraph.sources.sinks import comment_block
+
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "part").select("p_partkey", comment_block(F.col("p_name"), F.col("p_type"), F.lit(""), F.create_map("p_brand", _key("p_size")), F.col("p_brand"), none).alias("comment"))
+
+
+@query("snk7_markdown", "SELECT n_regionkey, '## ' || n_regionkey || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def snk7(spark, sf):
+    from quillgraph.sources.sinks import markdown_list
+
+    return markdown_list(table(spark, sf, "nation"), "n_regionkey", F.col("n_name"), ["n_nationkey"])
+
+
+@query("tl5_entry_points_like", r"SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#0000000__' ORDER BY c_name, c_custkey LIMIT 40")
+def tl5(spark, sf):
+    return table(spark, sf, "customer").where(F.col("c_name").like("Customer#0000000__")).select("c_custkey", "c_name").orderBy("c_name", "c_custkey").limit(40)
+
+
+@query("tl4_capability_entry_points", """SELECT c_custkey, c_name FROM customer WHERE list_contains([c_mktsegment, 'x' || c_nationkey], 'x3') ORDER BY c_name, c_custkey LIMIT 20""")
+def tl4(spark, sf):
+    caps = F.array("c_mktsegment", F.concat(F.lit("x"), _key("c_nationkey")))
+    return table(spark, sf, "customer").where(F.array_contains(caps, "x3")).select("c_custkey", "c_name").orderBy("c_name", "c_custkey").limit(20)
+
+
+@query("r15_hybrid_search")
+def r15(spark, sf):
+    """The whole search over parts as entities."""
+    none = F.lit(None).cast("string")
+    part = table(spark, sf, "part")
+    name, qualified = F.col("p_name"), F.concat_ws("::", "p_brand", "p_name")
+    sig = F.concat(F.lit("int "), name, F.lit("()"))
+    ents = part.select(
+        F.concat(F.lit("fn:"), _key("p_partkey")).alias("entity_id"), name.alias("name"), qualified.alias("qualified_name"), sig.alias("signature"), F.lit("function").alias("kind"), F.col("p_brand").alias("capability"),
+        F.col("p_type").alias("brief"), none.alias("details"), F.lit(None).cast("map<string,string>").alias("params"), none.alias("returns"), none.alias("notes"), none.alias("rationale"), sig.alias("definition_text"),
+        scalars.symbol_searchable(name, qualified, sig).alias("symbol_searchable"),
+    )
+    return retrieval.hybrid_search(ents, "polished steel part")

@@ -58,12 +58,26 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
-def materialize(df: DataFrame, label: str = "t", rows: int | None = None) -> DataFrame:
+def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Lets at most so much cross to Python at a time in this session; smaller settings stay.
+
+    Arrow's buffers are pooled, so an executor keeps what its largest batches took, beside the heap.
+    """
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def materialize(df: DataFrame, label: str = "t", rows: int | None = None, shrink: int = 1) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there.
 
-    The table goes when the Python process ends, or earlier with release(). rows: see arrow_rows().
+    The table goes when the Python process ends, or earlier with release(). rows: see arrow_rows(). shrink: for tables far
+    smaller than what they are made from, so many times fewer files than there are shuffle partitions (4 at least).
     """
     spark = df.sparkSession
+    if shrink > 1:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // shrink))
     path = f"{shared_dir(spark)}/quillgraph-{label}-{uuid.uuid4().hex}"
     with arrow_rows(spark, rows):
         # Small row groups keep the writers' buffers small beside the Python workers.
