@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 EXAMPLE = pa.struct([("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
@@ -80,6 +82,7 @@ def format_conversations(
     rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """Per conversation: id, examples array<struct<text, loss_start, loss_end>> in order of their replies."""
+    bound_batches(rows.sparkSession)
     kind = dict(rows.dtypes)[id_col]
     turns = rows.select(
         F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t")

@@ -37,7 +37,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     very many links. Rows with a null end or a = b are ignored; no rows give no rows.
     """
     pairs = materialize(
-        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc"
+        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc", shrink=4
     )
     for _ in range(rounds):
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -59,7 +59,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
             .select(F.col("x").alias("a"), F.col("y").alias("b"))
         )
-        nxt = materialize(small, "cc")
+        nxt = materialize(small, "cc", shrink=16)
         # Done when every node hangs on one root that hangs on nothing itself.
         roots = nxt.select(F.col("a").alias("b")).distinct()
         open_ = nxt.join(roots, "b", "left_semi").limit(1).count()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialize
+from quillgraph.session import bound_batches, materialize
 
 #: Words are 0-9, a-z (after lower-casing A-Z) and everything outside ASCII; other ASCII separates.
 NORMAL = bytes(
@@ -147,6 +147,7 @@ def find_contamination(
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, hit_spans (code points of the original, end exclusive), item_ids."""
     spark = docs.sparkSession
+    bound_batches(spark)
     frame = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
@@ -178,6 +179,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     """
     width = options.get("width", 10)
     spark = docs.sparkSession
+    bound_batches(spark)
     names = docs.columns
     out = docs
     for block in _blocks(items, options.get("item_id", "item_id"), options.get("item_text", "text"), width, options.get("block_bytes", 8 << 20)):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import fold_of
+from quillgraph.session import bound_batches
 
 _letters: list[np.ndarray] = []
 
@@ -191,6 +192,7 @@ def identify(
     max_chars: int = 20_000,
 ) -> DataFrame:
     """docs with lang_pred and score appended; any other columns pass through unread, whatever their names."""
+    bound_batches(docs.sparkSession)
     model = fit(*training_sample(learn_from, id_col, text_col, lang_col, per_lang, max_langs, max_chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
     n = len(docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import grulm
 from quillgraph.llm.common import fold_of, forget_shuffles, words
-from quillgraph.session import materialize, release
+from quillgraph.session import bound_batches, materialize
 
 END = b""
 LN10 = math.log(10)
@@ -223,6 +223,7 @@ def score_documents(
     share: each round trains on the training documents of one of `share` further folds of the id's hash.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), (fold_of(id_col) == 1).alias("held"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(share)).alias("fold"),

@@ -46,12 +46,12 @@ def rake(cells: DataFrame, rounds: int = 8, temper: float = 0.7) -> DataFrame:
         shares = cells.groupBy(m).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(temper)).alias(f"t_{m}"))
         norm = shares.agg(F.sum(f"t_{m}")).first()[0] or 1.0
         out = out.join(shares.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm)), m)
-    out = materialize(out, "cells")
+    out = materialize(out, "cells", shrink=16)
     for _ in range(rounds):
         for m in MARGINS:
             sums = out.groupBy(m).agg(F.sum("w").alias("s"))
             # A small table each time: the next step reads it twice, so the plan must not grow.
-            out = materialize(out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s"), "cells")
+            out = materialize(out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s"), "cells", shrink=16)
     return out.select(*MARGINS, "tokens", "w")
 
 
@@ -79,7 +79,7 @@ def mix(
         (topic if topic is not None else register(F.col(at[text_col]), F.col("n_tokens"))).alias("topic"),
     )
     cells = materialize(
-        plain.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells"
+        plain.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells", shrink=16
     )
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     rates = rake(cells, rounds, temper).select(*MARGINS, (F.col("w") * F.lit(float(total) * fraction) / F.col("tokens")).alias("rate"))

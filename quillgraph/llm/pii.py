@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialize
+from quillgraph.session import bound_batches, materialize
 
 #: The kinds in their order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -159,6 +159,7 @@ def find_pii(
 
     A pattern is trusted for a kind from min_support distinct believed instances and pattern_score on.
     """
+    bound_batches(docs.sparkSession)
     scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = materialize(
         scan.select(F.struct("row", "id").alias("k"), "text").mapInArrow(
@@ -174,6 +175,7 @@ def find_pii(
         .groupBy("pattern", "instance", "kind")
         .agg(F.count("*").alias("n")),
         "pii",
+        shrink=4,
     )
     # Belief in (instance, kind): seeds are certain, candidates start unknown.
     believed = graph.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief"))
@@ -191,6 +193,7 @@ def find_pii(
             .where((F.col("support") >= min_support) & (F.col("score") >= pattern_score))
             .select("pattern", "kind", "score"),
             "pii",
+            shrink=16,
         )
         fresh = (
             graph.where("kind is null")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.session import bound_batches
+
 SPACE = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -108,6 +110,7 @@ def count_tokens(
 ) -> DataFrame:
     """Per document: id, n_pretokens (runs without Unicode white space), n_tokens."""
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = dict(docs.dtypes)[id_col]
     return (

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import components
-from quillgraph.session import materialize, release
+from quillgraph.session import bound_batches, materialize
 
 LEAD, TILE = 3, 256
 
@@ -238,6 +238,7 @@ def _link_dim(reps: DataFrame, dim: int, t: float, block: int) -> DataFrame:
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block: int = 2048) -> DataFrame:
     """Per row: id, n_links, component_id (smallest id reachable by links), kept (it is its component's smallest)."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     rows = materialize(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(
             _check, "id long, key binary, dim int, raw binary"
@@ -252,7 +253,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         links = one if links is None else links.unionByName(one)
     if links is None:
         links = spark.createDataFrame([], "id long, links long, parent long")
-    links = materialize(links, "links")
+    links = materialize(links, "links", shrink=4)
     comps = components(links.select(F.col("parent").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
     sums = links.groupBy("id").agg(F.sum("links").alias("links"))
     of_rep = (
