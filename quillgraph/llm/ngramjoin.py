@@ -1,17 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-1. One pass over the texts gives each document's shingle set (sorted 64-bit hashes), a digest of the set and four
-   min-hashes. It is kept as a table; the texts aren't read again.
+1. One pass over the texts gives the size of each document's shingle set (64-bit hashes), a digest of the set and four
+   min-hashes, kept as a small table. Sets are made anew from the texts where they are needed, in the workers: whole
+   sets are twice as large as the compressed texts, so keeping them costs more disk than making them costs time.
 2. Documents with equal sets form a class; only the class's smallest id goes on.
-3. Similar documents are partitioned into groups: representatives with the same min-hash are compared with the smallest
-   id among them (the hub), linear in the rows, and linked ones form groups (their components). A group of many
-   documents is cut into parts of at most `part` documents.
+3. Similar documents are partitioned into groups. Representatives with the same min-hash are compared with the smallest
+   id among them (the hub), linear in the rows, and the components of these links are groups. Of the rest, documents
+   that mostly consist of frequent shingles are grouped by their most frequent one; any other is a group of its own. A
+   group of many documents is cut into parts of at most `part` documents.
 4. The token-group matrix holds (token, group) for the tokens in the groups' prefixes. In one order of all tokens
    (frequent ones last), two sets that link share at least k tokens among the first n - ceil(t n) + k of each, so only
    pairs of groups with k shared matrix tokens and fitting sizes can hold a link (Xiao et al. 2008).
 5. Each part of such a group is stored with its token union. A query document whose overlap with the union is under
-   ceil(t n) is skipped (the bound of Li et al. 2021); only qualifying parts are opened, and links are decided there on
-   the whole sets. One link joins two groups, so a group pair stops at its first.
+   ceil(t n) is skipped (the bound of Li et al. 2021), by bitmaps first, which cannot underrate an overlap, then on the
+   union itself; only qualifying parts are opened, and links are decided there on the whole sets. A task returns links
+   between different components only, at most one for each that it joins.
 
 Nothing is dropped: the order of tokens only decides the amount of work, and all bounds are necessary conditions.
 Shingles are compared by 64-bit hashes.
@@ -33,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import components, forget_shuffles, words
-from quillgraph.session import materialize, release
+from quillgraph.session import bound_batches, materialize, release
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows with sets that go to Python at a time.
+ROWS = 500
 
 
 class _WordHash(dict):
@@ -69,25 +74,36 @@ def shingle_set(text: bytes | None, size: int, known: dict[bytes, int]) -> np.nd
     return out
 
 
-def _sets(size: int):
+def _each_set(batches: Iterator[pa.RecordBatch], size: int, text_at: int = -1) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in pieces of bounded rows, with the shingle sets of their text column."""
+    known = _WordHash()
+    for whole in batches:
+        for start in range(0, whole.num_rows, 250):
+            batch = whole.slice(start, 250)
+            yield batch, [shingle_set(x.as_py(), size, known) for x in batch.column(text_at).cast(pa.binary())]
+
+
+def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                n, keys, blobs, mins = [], [], [], [[] for _ in _SEEDS]
-                for x in batch.column(1).cast(pa.binary()):
-                    s = shingle_set(x.as_py(), size, known)
-                    raw = s.tobytes()
-                    n.append(len(s))
-                    blobs.append(raw)
-                    keys.append(hashlib.blake2b(raw, digest_size=16).digest() if raw else None)
-                    for m, seed in zip(mins, _SEEDS, strict=True):
-                        m.append(int((s * seed).min().astype(np.int64)) if raw else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), *[pa.array(m, pa.int64()) for m in mins], pa.array(blobs, pa.binary())],
-                    names=["id", "n", "key", "m0", "m1", "m2", "m3", "sh"],
-                )
+        for batch, sets in _each_set(batches, size):
+            mins = [[int((s * seed).min().astype(np.int64)) if len(s) else None for s in sets] for seed in _SEEDS]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.binary()), *[pa.array(m, pa.int64()) for m in mins]],
+                names=["id", "n", "key", "m0", "m1", "m2", "m3"],
+            )
+
+    return run
+
+
+def _with_sets(size: int):
+    """The other columns, and sh in the place of the text, which comes last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _each_set(batches, size):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[:-1], "sh"]
+            )
 
     return run
 
@@ -97,7 +113,7 @@ def _needed(n, num: int, den: int):
     return -(-n * num // den)
 
 
-def _repeated(chunk: int = 1 << 20, least: int = 3):
+def _repeated(size: int, chunk: int = 1 << 20, least: int = 3):
     """Tokens that occur in several of the sets a task holds at a time, with their counts."""
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -106,53 +122,68 @@ def _repeated(chunk: int = 1 << 20, least: int = 3):
         return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(c[keep])], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for x in batch.column(0):
-                parts.append(np.frombuffer(x.as_buffer(), np.uint64).copy())
-                size += len(parts[-1])
-                if size >= chunk:
+        parts, held = [], 0
+        for _, sets in _each_set(batches, size):
+            for s in sets:
+                parts.append(s)
+                held += len(s)
+                if held >= chunk:
                     yield flush(parts)
-                    parts, size = [], 0
+                    parts, held = [], 0
         if parts:
             yield flush(parts)
 
     return run
 
 
-def _matrix(hot, num: int, den: int, k: int, chunk: int = 1 << 18):
-    """(token, group, least n, most n) for the prefixes; rows of one group that a task sees together are merged."""
+def _matrix(size: int, hot, num: int, den: int, k: int, least: int, chunk: int = 1 << 18):
+    """Two kinds of rows: (token, group, least n, most n) of the prefixes, where rows of one group that a task sees
+    together are merged; and (null, group, n, n, id) for a document that gets its group here."""
 
-    def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(rows: list[np.ndarray], joined: list[tuple[int, int, int]]) -> pa.RecordBatch:
         t, g, n = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((g, t))
         t, g, n = t[order], g[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]))))
+        lo, hi = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+        more = np.array(joined, np.int64).reshape(-1, 3)
+        none = np.arange(len(first) + len(more)) >= len(first)
         return pa.RecordBatch.from_arrays(
-            [pa.array(t[first].view(np.int64)), pa.array(g[first]), pa.array(np.minimum.reduceat(n, first)), pa.array(np.maximum.reduceat(n, first))],
-            names=["token", "g", "lo", "hi"],
+            [
+                pa.array(np.concatenate((t[first].view(np.int64), more[:, 0])), mask=none),
+                pa.array(np.concatenate((g[first], more[:, 0]))),
+                pa.array(np.concatenate((lo, more[:, 2])).astype(np.int32)),
+                pa.array(np.concatenate((hi, more[:, 2])).astype(np.int32)),
+                pa.array(np.concatenate((g[first], more[:, 1])), mask=~none),
+            ],
+            names=["token", "g", "lo", "hi", "id"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = hot.value
-        rows, size = [], 0
-        for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
+        rows, joined, held = [], [], 0
+        for batch, sets in _each_set(batches, size):
+            for i, g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+                if len(s) < least:
+                    continue
                 p = min(len(s), len(s) - _needed(len(s), num, den) + k)
+                first = s[:p]
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     rank = np.where(tokens[at] == s, ranks[at], -1)
-                    first = s[np.lexsort((s, rank))[:p]] if (rank >= 0).any() else s[:p]
-                else:
-                    first = s[:p]
-                rows.append((first.copy(), np.full(p, g, np.int64), np.full(p, len(s), np.int32)))
-                size += p
-                if size >= chunk:
-                    yield flush(rows)
-                    rows, size = [], 0
+                    if (rank >= 0).any():
+                        order = np.lexsort((s, rank))
+                        first = s[order[:p]]
+                        if g is None and rank[order[p - 1]] >= 0:
+                            g = int(s[order[-1]].astype(np.int64))
+                            joined.append((g, i, len(s)))
+                rows.append((first.copy(), np.full(p, i if g is None else g, np.int64), np.full(p, len(s), np.int32)))
+                held += p
+                if held >= chunk:
+                    yield flush(rows, joined)
+                    rows, joined, held = [], [], 0
         if rows:
-            yield flush(rows)
+            yield flush(rows, joined)
 
     return run
 
@@ -185,33 +216,93 @@ def _verify_pairs(num: int, den: int):
     return run
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token's hash modulo the number of bits, a power of two of about four bits a token."""
+    bits = min(1 << 16, max(64, 1 << (4 * len(tokens) - 1).bit_length()))
+    mark = np.zeros(bits, np.uint8)
+    mark[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(mark).tobytes()
+
+
+def _most_shared(n: int, a: np.ndarray, b: np.ndarray) -> int:
+    """At most so many of n tokens with bitmap a are among those of bitmap b: each bit of a alone is a token not shared."""
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = a[:half] | a[half:]
+    while len(b) > len(a):
+        half = len(b) // 2
+        b = b[:half] | b[half:]
+    return n - int(np.bitwise_count(a & ~b).sum())
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Group parts with their token unions."""
+    """Group parts with their members' sizes and bitmaps, their token unions and those's bitmaps; a single set is its own union."""
     for batch in batches:
-        unions = []
-        for x in batch.column(2):
+        sizes, maps, unions, union_maps = [], [], [], []
+        for x in batch.column(3):
             sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in x.values]
-            unions.append((np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], names=["g", "part", "sets", "tokens"])
+            sizes.append([len(v) for v in sets])
+            maps.append([_bitmap(v) for v in sets])
+            union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+            unions.append(union.tobytes() if len(sets) > 1 else None)
+            union_maps.append(_bitmap(union))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(unions, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(maps, pa.list_(pa.binary())), pa.array(union_maps, pa.binary())],
+            names=["g", "part", "labels", "sets", "tokens", "sizes", "maps", "tokens_map"],
+        )
 
 
-def _open(num: int, den: int):
+def _bound(num: int, den: int):
+    """Keeps the pairs of parts in which some query document may share ceil(t n) tokens with the other part's union."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for sets_a, sets_b, raw in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                union = np.frombuffer(raw.as_buffer(), np.uint64)
-                group = [np.frombuffer(v.as_buffer(), np.uint64) for v in sets_b.values]
-                found = False
-                for v in sets_a.values:
-                    q = np.frombuffer(v.as_buffer(), np.uint64)
-                    if _overlap(q, union) < _needed(len(q), num, den):
+            for sizes, maps, other in zip(batch.column(4), batch.column(5), batch.column(6), strict=True):
+                union = np.frombuffer(other.as_buffer(), np.uint8)
+                ok.append(
+                    any(
+                        _most_shared(n, np.frombuffer(m.as_buffer(), np.uint8), union) >= _needed(n, num, den)
+                        for n, m in zip(sizes.as_py(), maps.values, strict=True)
+                    )
+                )
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "pa", "b", "pb"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _open(num: int, den: int):
+    """Links between different labels of two parts (labels, sets, maps of each, and the second's token union)."""
+
+    def read(labels, sets, maps) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        array = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+        return [(x, array(v, np.uint64), array(m, np.uint8)) for x, v, m in zip(labels.as_py(), sets.values, maps.values, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*batch.columns, strict=True):
+                root: dict[int, int] = {}
+
+                def find(x: int, root=root) -> int:
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                queries, members = read(*row[:3]), read(*row[3:6])
+                union = np.frombuffer(row[6].as_buffer(), np.uint64) if row[6].is_valid else members[0][1]
+                for x, q, q_map in queries:
+                    n = len(q)
+                    if all(find(x) == find(y) for y, _, _ in members) or _overlap(q, union) < _needed(n, num, den):
                         continue
-                    if any(len(m) * den >= len(q) * num and len(q) * den >= len(m) * num and _links(q, m, num, den) for m in group):
-                        found = True
-                        break
-                ok.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    for y, m, m_map in members:
+                        if find(x) == find(y) or len(m) * den < n * num or n * den < len(m) * num:
+                            continue
+                        most = min(_most_shared(n, q_map, m_map), _most_shared(len(m), m_map, q_map))
+                        if den * most >= num * (n + len(m) - most) and _links(q, m, num, den):
+                            found.append((x, y))
+                            root[find(x)] = find(y)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -223,6 +314,11 @@ def _with_ids(rows: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids, on, how)
 
 
+def by_token_groups(member: DataFrame, groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """g of the groups of several documents that links don't hold together."""
+    return parts.where("docs > 1").select("g").join(member.join(groups.select("id"), "id", "left_anti").select("g").distinct(), "g", "left_semi")
+
+
 def link_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,41 +334,57 @@ def link_documents(
     """Per row: id, n_shingles, component (smallest id reachable by links of Jaccard >= num / den).
 
     hot_from: tokens counted at least so often go last in the order; doubled until at most max_hot are left (the
-    broadcast bound). part: documents in a stored part of a group.
+    broadcast bound). part: documents in a stored part of a group, which has at most 512 times as many tokens on average.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    s = materialize(
-        base.mapInArrow(_sets(size), "id long, n int, key binary, m0 long, m1 long, m2 long, m3 long, sh binary"), "sets"
-    )
+    s = materialize(base.mapInArrow(_digests(size), "id long, n int, key binary, m0 long, m1 long, m2 long, m3 long"), "sets", ROWS)
     real = s.where("key is not null and id is not null")
-    classes = materialize(real.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    classes = real.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = materialize(
-        real.select("id", "key").join(classes, "key").where("id <> rep").select("id", "rep").distinct(), "copies"
+        real.select("id", "key").join(classes, "key").where("id <> rep").select("id", "rep").distinct(), "copies", shrink=16
     )
     reps = _with_ids(real, "id", copies.select("id"), "left_anti")
-
-    # Groups of similar documents: each is compared with the hubs of its min-hashes.
-    keyed = reps.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(4)])).alias("x")).select("id", "x.*")
-    hubs = keyed.groupBy("i", "m").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    texts = _with_ids(base.where("id is not null"), "id", copies.select("id"), "left_anti")
+
+    # Groups of similar documents: each is compared with the hubs of its min-hashes if the sizes fit and a second
+    # min-hash agrees. A pair missed here is found by the matrix.
+    mins = [f"m{i}" for i in range(4)]
+    keyed = reps.select("id", "n", *mins, F.posexplode(F.array(*mins)).alias("i", "m"))
+    hubs = (
+        keyed.groupBy("i", "m")
+        .agg(F.min(F.struct("id", "n", *mins)).alias("hub"), F.max("id").alias("last"))
+        .where("hub.id < last")
+        .drop("last")
+    )
+    same = sum(((F.col(f"hub.{c}") == F.col(c)).cast("int") for c in mins), F.lit(0))
     near = materialize(
-        keyed.join(hubs, ["i", "m"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "near"
+        keyed.join(hubs, ["i", "m"])
+        .where((F.col("id") != F.col("hub.id")) & (same >= 2))
+        .where((F.col("n") * den >= F.col("hub.n") * num) & (F.col("hub.n") * den >= F.col("n") * num))
+        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        .distinct(),
+        "near", shrink=16,
     )
-    ids = materialize(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "ids")
-    cand = materialize(_with_ids(reps.select("id", "sh"), "id", ids, "left_semi"), "cand")
+    ids = materialize(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "ids", shrink=16)
+    cand = materialize(_with_ids(texts, "id", ids, "left_semi").mapInArrow(_with_sets(size), "id long, sh binary"), "cand", ROWS)
     hub_links = (
         near.join(cand.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
         .join(cand.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
         .mapInArrow(_verify_pairs(num, den), "a long, b long")
     )
-    groups = materialize(components(hub_links).withColumnRenamed("node", "id").withColumnRenamed("component", "g"), "groups")
+    hub_links = materialize(hub_links, "links", ROWS, 4)
+    groups = materialize(components(hub_links).withColumnRenamed("node", "id").withColumnRenamed("component", "g"), "groups", shrink=16)
     for t in (near, ids, cand):
         release(t)
+    del keyed, hubs, hub_links
+    forget_shuffles(spark)
 
     # One order of all tokens: the frequent ones last.
     repeated = materialize(
-        reps.select("sh").mapInArrow(_repeated(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_from), "hot"
+        texts.select("text").mapInArrow(_repeated(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_from), "hot", ROWS, 16
     )
     floor = hot_from
     while repeated.where(F.col("n") >= floor).count() > max_hot:
@@ -287,19 +399,14 @@ def link_documents(
     # Sets of under `least` shingles link with equal ones only, which are classes already.
     least = next(n for n in range(1, 10_000) if num * (n + 1) <= den * n)
     few = groups.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    grouped = (
-        reps.where(F.col("n") >= least)
-        .select("id", "n", "sh")
-        .join(F.broadcast(groups) if few else groups, "id", "left")
-        .select("id", "n", "sh", F.coalesce("g", "id").alias("g"))
-    )
-    matrix = (
-        grouped.select("g", "sh")
-        .mapInArrow(_matrix(hot, num, den, k), "token long, g long, lo int, hi int")
+    labelled = texts.join(F.broadcast(groups) if few else groups, "id", "left")
+    matrix = materialize(
+        labelled.select("id", "g", "text").mapInArrow(_matrix(size, hot, num, den, k, least), "token long, g long, lo int, hi int, id long"), "matrix", ROWS
     )
     # A group may have several rows of a token, from different tasks: counts are then too high, never too low.
-    left = matrix.select("token", F.col("g").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = matrix.select("token", F.col("g").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    cells = matrix.where("token is not null")
+    left = cells.select("token", F.col("g").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = cells.select("token", F.col("g").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     pairs = materialize(
         left.join(right, "token")
         .where("a < b")
@@ -309,28 +416,63 @@ def link_documents(
         .where(F.col("count") >= k)
         .select("a", "b"),
         "pairs",
+        shrink=4,
     )
-    del matrix, left, right
+    del left, right
     forget_shuffles(spark)
-    ids = materialize(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
-    wanted = materialize(_with_ids(grouped, "g", ids, "left_semi"), "wanted")
-    sizes = wanted.groupBy("g").agg(F.ceil(F.count("*") / part).alias("parts"))
+
+    # Where each document of a group is: its part goes by the group's documents and tokens.
+    by_token = matrix.where("token is null").select("id", "g", F.col("lo").alias("n"))
+    member = materialize(groups.join(reps.select("id", "n"), "id").select("id", "g", "n").unionByName(by_token), "member", shrink=16)
+    parts = materialize(member.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / part, F.sum("n") / (part * 512))).alias("parts"), F.count("*").alias("docs")), "parts", shrink=16)
+    release(matrix)
+    # A group by token may hold links inside; the members of the others are linked already.
+    inner = by_token_groups(member, groups, parts)
+    ids = materialize(
+        pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).union(inner.select("g")).distinct(), "ids", shrink=16
+    )
+    few = member.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    where = member.join(parts, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    placed = labelled.select("id", F.coalesce("g", "id").alias("label"), "text").join(F.broadcast(where) if few else where, "id", "left")
+    placed = placed.select(F.coalesce("g", "id").alias("g"), F.coalesce("part", F.lit(0)).alias("part"), "label", "text")
     stored = materialize(
-        wanted.join(sizes, "g")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        _with_ids(placed, "g", ids, "left_semi")
+        .mapInArrow(_with_sets(size), "g long, part long, label long, sh binary")
         .groupBy("g", "part")
-        .agg(F.collect_list("sh").alias("sets"))
-        .mapInArrow(_store, "g long, part long, sets array<binary>, tokens binary"),
+        .agg(F.collect_list(F.struct("label", "sh")).alias("x"))
+        .select("g", "part", "x.label", "x.sh")
+        .mapInArrow(_store, "g long, part long, labels array<long>, sets array<binary>, tokens binary, sizes array<int>, maps array<binary>, tokens_map binary"),
         "stored",
+        20,
+    )
+    forget_shuffles(spark)
+    # The bound first, on bitmaps; whole sets are fetched only for the parts that it leaves.
+    side = lambda s, *cs: stored.select(F.col("g").alias(s), F.col("part").alias(f"p{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cs])
+    todo = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "pa", "b", "pb").unionByName(
+        inner.select("g").distinct().join(side("a").withColumnRenamed("a", "g"), "g").join(side("b").withColumnRenamed("b", "g"), "g").where("pa <= pb")
+        .select(F.col("g").alias("a"), "pa", F.col("g").alias("b"), "pb")
+    )
+    qualified = materialize(
+        todo.join(side("a", "sizes", "maps"), ["a", "pa"])
+        .join(side("b", "tokens_map"), ["b", "pb"])
+        .select("a", "pa", "b", "pb", "sizes_a", "maps_a", "tokens_map_b")
+        .mapInArrow(_bound(num, den), "a long, pa long, b long, pb long"),
+        "qualified",
+        ROWS,
+        4,
     )
+    ids = materialize(qualified.select(F.col("a").alias("g")).union(qualified.select(F.col("b").alias("g"))).distinct(), "ids", shrink=16)
+    whole = stored
+    stored = _with_ids(whole, "g", ids, "left_semi")
     opened = (
-        pairs.join(stored.select(F.col("g").alias("a"), F.col("sets").alias("sets_a")), "a")
-        .join(stored.select(F.col("g").alias("b"), F.col("sets").alias("sets_b"), "tokens"), "b")
-        .select("a", "b", "sets_a", "sets_b", "tokens")
+        qualified.join(side("a", "labels", "sets", "maps"), ["a", "pa"])
+        .join(side("b", "labels", "sets", "maps", "tokens"), ["b", "pb"])
+        .select("labels_a", "sets_a", "maps_a", "labels_b", "sets_b", "maps_b", "tokens_b")
         .mapInArrow(_open(num, den), "a long, b long")
     )
-    joined = materialize(components(opened).withColumnRenamed("node", "g"), "joined")
-    for t in (pairs, ids, wanted, stored):
+    opened = materialize(opened, "links", 20, 4)
+    joined = materialize(components(opened).withColumnRenamed("node", "g"), "joined", shrink=16)
+    for t in (pairs, ids, qualified, parts, whole, member):
         release(t)
 
     of_rep = groups.join(joined, "g", "full_outer").select(
@@ -346,7 +488,7 @@ def link_documents(
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each component (the smallest id), with all columns; a null id is kept."""
     found = link_documents(docs, **options)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", shrink=16)
     return _with_ids(docs, "doc_id", gone, "left_anti")
 
 
