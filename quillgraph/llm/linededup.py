@@ -62,11 +62,11 @@ def recurring_templates(
     )
     often = held.groupBy("tpl").count().where(F.col("count") >= min_docs).select("tpl", F.lit(1).alias("again"))
     shares = (
-        held.join(_few(materialize(often, "often")), "tpl", "left")
+        held.join(_few(materialize(often, "often", shrink=16)), "tpl", "left")
         .groupBy("h")
         .agg((F.sum(F.when(F.col("again") == 1, F.col("n")).otherwise(0)) > copy_share * F.sum("n")).alias("copy"))
     )
-    copies = materialize(shares.where("copy").select("h"), "copies")
+    copies = materialize(shares.where("copy").select("h"), "copies", shrink=16)
     own = materialize(held.join(_few(copies, 2_000_000), "h", "left_anti"), "own")
     plain = own.groupBy("tpl").count().where(F.col("count") >= min_docs).select("tpl")
 
@@ -75,11 +75,13 @@ def recurring_templates(
         own.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("tpl").alias("a"), F.max("tpl").alias("b"), F.max("n").alias("width"))
         .where((F.col("docs") >= min_docs) & (F.col("a") < F.col("b")))
         .select("leaf", "docs", "width"),
-        "leaves",
+        "leaves", shrink=16,
     )
     members = own.join(_few(leaves), "leaf").groupBy("leaf", "tpl").agg(F.count("*").alias("times"), F.first("docs").alias("docs"), F.first("width").alias("width"))
+    # Their text is fetched from the texts that have such a line.
+    near = materialize(own.join(_few(leaves.select("leaf")), "leaf", "left_semi").select("h").distinct(), "near", shrink=16)
     shown = (
-        _lines(texts, depth)
+        _lines(texts.join(_few(near, 2_000_000), "h", "left_semi"), depth)
         .where(F.col("n") >= min_tokens)
         .join(_few(leaves.select("leaf")), "leaf", "left_semi")
         .groupBy("leaf", "tpl")
@@ -104,7 +106,7 @@ def recurring_templates(
         .where(F.col("matched") == F.col("fixed"))
         .select("tpl")
     )
-    return materialize(plain.unionByName(matched).distinct(), "dropped"), held
+    return materialize(plain.unionByName(matched).distinct(), "dropped", shrink=16), held
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -115,21 +117,20 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) ->
     texts = plain.where(F.col(f"c{at}").isNotNull()).select("h", F.col(f"c{at}").alias("text"))
     dropped, held = recurring_templates(texts, **options)
     per_text = materialize(
-        held.select("h", "tpl").join(_few(dropped), "tpl", "left_semi").groupBy("h").agg(F.collect_set("tpl").alias("gone")), "gone"
+        held.select("h", "tpl").join(_few(dropped), "tpl", "left_semi").groupBy("h").agg(F.collect_set("tpl").alias("gone")), "gone", shrink=16
     )
-    lines = F.split(f"c{at}", "\n")
+    text = F.col(f"c{at}")
+    lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("gone", F.xxhash64(_template(x))))
+    # Texts without a dropped line, nearly all, are neither split nor joined.
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return (
         plain.join(_few(per_text), "h", "left")
+        .select(*[f"c{i}" for i in range(n)], F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
         .select(
-            *[f"c{i}" for i in range(n)],
-            F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-            F.when(F.col("gone").isNull(), lines).otherwise(kept).alias("kept"),
-        )
-        .select(
-            *[F.when(F.col(f"c{at}").isNotNull(), F.array_join("kept", "\n")).alias(f"c{i}") if i == at else F.col(f"c{i}") for i in range(n)],
-            F.when(F.col(f"c{at}").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-            F.when(F.col(f"c{at}").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+            *[F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(text).alias(f"c{i}") if i == at else F.col(f"c{i}") for i in range(n)],
+            "n_lines",
+            F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"),
         )
         .toDF(*docs.columns, "n_lines", "n_dropped")
     )
