@@ -4,9 +4,12 @@ A line's tokens with a digit are variable fields and become `<*>`; the rest is i
 number of tokens, then the first `depth` template tokens; its leaves hold templates. A leaf whose lines agree on most
 positions is one template with the other positions generalised to `<*>`.
 
-Templates that recur in at least min_docs different texts are dropped from every document. Texts most of whose lines recur
-are copies of one another rather than carriers of boilerplate: they are left to document deduplication and don't count
-towards recurrence, so the lines that only copies share stay.
+Templates that recur in at least min_docs different texts are dropped from every document; a line of long_tokens or more
+recurs from 2 texts on. Near-copies of one another count as one text: they are left to document deduplication, so the
+lines that only copies share stay. To find them, a text is compared with the shortest text of each line that it shares with
+others, by the runs of four words of the two: near-copies agree on `alike` of all runs, or on `own_alike` of those outside the lines
+that they share.
+Groups are the components of these links.
 
 All steps are grouped counts with map-side combine on hashes of templates and texts; equal texts count once however often
 they occur. The lists that are joined back are broadcast only if they were counted to be few, else shuffled.
@@ -20,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import components
 from quillgraph.session import materialize
 
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -53,22 +57,61 @@ def _lines(texts: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def near_copies(texts: DataFrame, held: DataFrame, alike: float = 0.8, own_alike: float = 0.4) -> DataFrame:
+    """(h, g): the group of every text that is a near-copy of another; held: templates of texts."""
+
+    def near(c: Column, u: Column) -> Column:
+        """c of u runs are common; s of them, at most c, are in the shared lines."""
+        s = F.least("s", c)
+        return (c >= alike * u) | (c - s >= own_alike * (u - s))
+
+    again = materialize(held.groupBy("tpl").count().where("count > 1").select("tpl"), "again", shrink=16)
+    shared = materialize(held.join(_few(again), "tpl", "left_semi").select("h", "tpl", "n"), "shared", shrink=4)
+    words = (
+        texts.join(_few(materialize(shared.select("h").distinct(), "sharing", shrink=16), 2_000_000), "h", "left_semi")
+        .select("h", _tokens(_template(F.col("text"))).alias("w"))
+    )
+    starts = F.slice("w", F.lit(1), F.greatest(F.size("w") - 3, F.lit(0)))
+    fours = F.array_distinct(F.transform(starts, lambda x, i: F.hash(x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3))))
+    grams = materialize(words.select("h", fours.alias("grams")).dropDuplicates(["h"]).withColumn("size", F.size("grams")), "grams")
+    sizes = grams.select("h", "size")
+    sized = shared.join(_few(sizes), "h")
+    least = sized.groupBy("tpl").agg(F.min(F.struct("size", "h")).alias("least"))
+    to = (
+        sized.join(_few(least), "tpl")
+        .where(F.col("h") != F.col("least.h"))
+        .groupBy("h", F.col("least.h").alias("rep"), F.col("size").alias("a"), F.col("least.size").alias("b"))
+        .agg(F.sum(F.greatest(F.col("n") - 3, F.lit(0))).alias("s"))
+        # Necessary for a near-copy: the smaller set has all that is common.
+        .where(near(F.least("a", "b"), F.greatest("a", "b")))
+    )
+    both = materialize(to, "pairs", shrink=4).join(grams.select("h", "grams"), "h").join(
+        grams.select(F.col("h").alias("rep"), F.col("grams").alias("others")), "rep"
+    )
+    seen = both.select("h", "rep", "a", "b", "s", F.size(F.array_intersect("grams", "others")).alias("c")).withColumn("u", F.col("a") + F.col("b") - F.col("c"))
+    links = materialize(seen.where(near(F.col("c"), F.col("u"))).select(F.col("h").alias("a"), F.col("rep").alias("b")), "links", shrink=16)
+    return materialize(components(links).select(F.col("node").alias("h"), F.col("component").alias("g")), "copies", shrink=16)
+
+
 def recurring_templates(
-    texts: DataFrame, depth: int = 3, min_docs: int = 5, min_tokens: int = 3, copy_share: float = 0.5, agree: float = 0.7
+    texts: DataFrame, depth: int = 3, min_docs: int = 5, min_tokens: int = 3, long_tokens: int = 50, agree: float = 0.7
 ) -> tuple[DataFrame, DataFrame]:
     """(dropped templates: tpl; templates of texts: h, tpl), from texts: h, text."""
     held = materialize(
         _lines(texts, depth).where(F.col("n") >= min_tokens).groupBy("h", "leaf", "tpl").agg(F.max("n").alias("n")), "held"
     )
-    often = held.groupBy("tpl").count().where(F.col("count") >= min_docs).select("tpl", F.lit(1).alias("again"))
-    shares = (
-        held.join(_few(materialize(often, "often", shrink=16)), "tpl", "left")
-        .groupBy("h")
-        .agg((F.sum(F.when(F.col("again") == 1, F.col("n")).otherwise(0)) > copy_share * F.sum("n")).alias("copy"))
+    copies = _few(near_copies(texts, held), 2_000_000)
+    own = materialize(
+        held.join(copies, "h", "left_anti").unionByName(
+            held.join(copies, "h").groupBy(F.col("g").alias("h"), "leaf", "tpl").agg(F.max("n").alias("n"))
+        ),
+        "own",
+    )
+    plain = (
+        own.groupBy("tpl").agg(F.count("*").alias("docs"), F.max("n").alias("n"))
+        .where((F.col("docs") >= min_docs) | ((F.col("n") >= long_tokens) & (F.col("docs") > 1)))
+        .select("tpl")
     )
-    copies = materialize(shares.where("copy").select("h"), "copies", shrink=16)
-    own = materialize(held.join(_few(copies, 2_000_000), "h", "left_anti"), "own")
-    plain = own.groupBy("tpl").count().where(F.col("count") >= min_docs).select("tpl")
 
     # Leaves whose lines differ in variable fields that no digit marks.
     leaves = materialize(
@@ -77,9 +120,11 @@ def recurring_templates(
         .select("leaf", "docs", "width"),
         "leaves", shrink=16,
     )
+    spread = own.join(_few(leaves), "leaf", "left_semi").groupBy("leaf").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= min_docs)
+    leaves = materialize(leaves.join(spread, "leaf").select("leaf", "docs", "width"), "leaves", shrink=16)
     members = own.join(_few(leaves), "leaf").groupBy("leaf", "tpl").agg(F.count("*").alias("times"), F.first("docs").alias("docs"), F.first("width").alias("width"))
     # Their text is fetched from the texts that have such a line.
-    near = materialize(own.join(_few(leaves.select("leaf")), "leaf", "left_semi").select("h").distinct(), "near", shrink=16)
+    near = materialize(held.join(_few(leaves.select("leaf")), "leaf", "left_semi").select("h").distinct(), "near", shrink=16)
     shown = (
         _lines(texts.join(_few(near, 2_000_000), "h", "left_semi"), depth)
         .where(F.col("n") >= min_tokens)

@@ -61,6 +61,18 @@ def test_leaf_generalises_fields_without_digits(spark):
     assert all(r.n_dropped == 1 and "Welcome" not in r.text for r in out)
 
 
+def test_long_passages_recur_in_different_texts_and_not_in_near_copies(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(n))
+    passage, pair, copied = prose(60), prose(55), [prose(60) for _ in range(3)]
+    docs = [(i, f"{prose(20)}\n{passage}\n{prose(20)}") for i in range(10)]
+    docs += [(20 + i, f"{prose(90)}\n{pair}") for i in range(2)]
+    docs += [(30 + i, "\n".join([*copied, f"{copied[0][:150]} {prose(2)}"])) for i in range(7)]
+    want = {i: "\n".join(x for x in t.split("\n") if x not in (passage, pair)) for i, t in docs}
+    out = linededup.op8(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in out} == want
+
+
 def test_line_dedup_empty(spark):
     assert linededup.op8(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
