@@ -170,13 +170,17 @@ class Stream:
         self.new = np.zeros(len(self.seq), bool)
         self.new[np.concatenate(([0], np.cumsum(lengths[order])[:-1]))] = True
 
-    def windows(self, steps: int):
-        """Flat positions of each window, one array for each step; the lanes that still run are the first ones."""
-        for start in range(0, int(self.sizes.max(initial=0)), steps):
-            yield [
-                self.offsets[: np.searchsorted(-self.sizes, -s, side="left")] + s
-                for s in range(start, min(start + steps, int(self.sizes[0])))
-            ]
+    def windows(self, steps: int, most: int = 0):
+        """Flat positions of each window, one array for each step; the lanes that still run are the first ones.
+
+        most: where few lanes run, so many steps at most, as far as the window stays as large as one of all lanes.
+        """
+        start, end = 0, int(self.sizes.max(initial=0))
+        while start < end:
+            running = int(np.searchsorted(-self.sizes, -start, side="left"))
+            n = max(steps, min(most, steps * len(self.sizes) // running))
+            yield [self.offsets[: np.searchsorted(-self.sizes, -s, side="left")] + s for s in range(start, min(start + n, end))]
+            start += n
 
 
 def score(p: Params, shape: Shape, seqs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 64, most: int = 1024) -> np.ndarray:
@@ -200,17 +204,16 @@ def score(p: Params, shape: Shape, seqs: list[tuple[np.ndarray, np.ndarray, np.n
 
 
 def train(
-    p: Params, shape: Shape, seqs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 16, most: int = 256, piece: int = 256, rate: float = 0.08
+    p: Params, shape: Shape, seqs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 16, most: int = 256, rate: float = 0.08
 ) -> Params:
-    """One pass of truncated backpropagation; long sequences are cut into pieces, states are carried across windows."""
-    parts = [tuple(x[i : i + piece] for x in s) for s in seqs for i in range(0, len(s[0]), piece)]
-    if not parts:
+    """One pass of truncated backpropagation over whole sequences; states are carried across windows."""
+    if not seqs:
         return p
     p = {k: v.copy() for k, v in p.items()}
     mem = {k: np.full(v.shape if k != "E" else (len(v), 1), 1e-6, F32) for k, v in p.items()}
-    stream = Stream(parts, most)
+    stream = Stream(seqs, most)
     h, k = np.zeros((len(stream.sizes), shape.hidden), F32), shape.hidden
-    for window in stream.windows(steps):
+    for window in stream.windows(steps, 8 * steps):
         saved, hs = [], []
         for at in window:
             h = h[: len(at)].copy()

@@ -5,9 +5,9 @@ kept as a table. Words whose count reaches a threshold that leaves at most `dict
 the threshold doubles until they fit) are looked up in the workers; the others, "far" words, are joined to the
 counts by a shuffle, so every word of every text gets its own count.
 
-The network (grulm) is trained in numpy in every task on a fixed share of the training documents, starting from one model,
-and the tasks' parameters are averaged, weighted by their tokens, in each round (parameter mixing, McDonald et al.
-2010). The averages are grouped sums over slices of the parameters, first over salted subgroups, so what is
+The network (grulm) is trained in numpy in every task on whole texts, starting from one model, and the tasks' parameters
+are averaged, weighted by their tokens, in each round (parameter mixing, McDonald et al. 2010). Each round takes another
+fold of the training documents; the rounds together take them all. The averages are grouped sums over slices of the parameters, first over salted subgroups, so what is
 gathered follows the corpus and no task or driver gets all models at once. A score is the sum over all tokens of the whole
 text, states carried across windows.
 
@@ -215,12 +215,13 @@ def score_documents(
     text_col: str = "text",
     shape: grulm.Shape = SHAPE,
     dictionary: int = 200_000,
-    rounds: int = 2,
-    share: int = 8,
+    rounds: int | None = None,
+    share: int = 2,
 ) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    share: each round trains on the training documents of one of `share` further folds of the id's hash.
+    share: each round trains on the training documents of one of `share` further folds of the id's hash. rounds: `share`, so
+    that every training document is learned from once.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -254,7 +255,7 @@ def score_documents(
         }
     )
     params = grulm.start_params(shape, numbers[:n_head], tail_tokens)
-    for r in range(rounds):
+    for r in range(share if rounds is None else rounds):
         params = _mix(training.where(F.col("fold") == r % share).select("text"), lexicon, params)
     shared = spark.sparkContext.broadcast(params)
     local = materialize(

@@ -225,5 +225,25 @@ def test_lm_gradients_follow_the_loss():
     assert g.score(p, shape, seqs).sum() > before + 50
 
 
+def test_lm_rounds_train_on_all_training_documents(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(lmscore, "_mix", lambda texts, lexicon, params: taken.extend(r.text for r in texts.collect()) or params)
+    docs = [(i, f"text {i} of many") for i in range(300)]
+    assert lmscore.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).count() == 300
+    assert sorted(taken) == sorted(t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1)
+
+
+def test_lm_training_carries_the_state_through_a_long_text():
+    g = lmscore.grulm
+    shape = g.Shape(head=6, per_class=4, tail_classes=3, buckets=4, hidden=5)
+    p = g.start_params(shape, np.array([5.0, 4, 3, 2, 1, 1]), np.array([3.0, 2, 1]))
+    r = np.random.default_rng(0)
+    seq = (r.integers(0, 10, 600).astype(np.int16), np.tile([0, 1, 2], 200).astype(np.int16), np.zeros(600, np.int16))
+    pieces = [tuple(x[i : i + 256] for x in seq) for i in range(0, 600, 256)]
+    assert g.score(p, shape, [seq])[0] != pytest.approx(g.score(p, shape, pieces).sum(), rel=1e-7)
+    whole, cut = g.train(p, shape, [seq]), g.train(p, shape, pieces)
+    assert any(not np.allclose(whole[k], cut[k], atol=1e-5) for k in p)
+
+
 def test_lm_empty(spark):
     assert lmscore.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
