@@ -10,6 +10,10 @@ Bounds (parameters): the classifier is fitted on at most per_lang texts of each
 each of at most max_chars code points, and the alphabet holds max_letters letters (further letters are one
 class). Scoring reads every whole text.
 
+A margin is a comparison of the learned languages and says nothing of texts in none of them. Evidence of a learned language is
+the share of a text's distinct grams that the landmarks hold. The training texts that are no landmarks give the share that is
+usual; a text is rejected if it has far more unknown grams, with an allowance for the chance in short texts.
+
 Defined results: `und` with score 0 for a null text, a text without letters, or if nothing is labelled; null labels are
 not learned from; equal margins go to the label that sorts first; rows with equal ids stay separate rows.
 """
@@ -52,6 +56,7 @@ class Model:
     landmarks: np.ndarray
     sizes: np.ndarray
     weights: np.ndarray
+    unknown: float = 0.5
 
     def classes(self, text: str) -> np.ndarray:
         points = _points(text)
@@ -59,16 +64,24 @@ class Model:
         c = table[points]
         return c[(c > 0) | np.concatenate(([True], c[:-1] > 0))] if len(c) else c
 
-    def presence(self, texts: list[str]) -> np.ndarray:
+    def presence(self, texts: list[str], unknown: np.ndarray | None = None) -> np.ndarray:
+        """unknown: takes the number of each text's distinct grams that no landmark has."""
         out = np.zeros((len(texts), len(self.landmarks[0])), np.float32)
         for i, t in enumerate(texts):
             for g in _grams(self.classes(t), len(self.letters) + 2):
                 ids = self.gram_id[g]
                 out[i, ids[ids >= 0]] = 1
+                if unknown is not None:
+                    unknown[i] += len(np.unique(g[ids < 0]))
         return out
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        p = self.presence(texts)
+    def foreign(self, presence: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        """Whether a text has more unknown grams than its length explains, by three deviations."""
+        usual = self.unknown * (presence.sum(1) + unknown)
+        return unknown > usual + 3 * np.sqrt(usual)
+
+    def kernel(self, texts: list[str], presence: np.ndarray | None = None) -> np.ndarray:
+        p = self.presence(texts) if presence is None else presence
         n = np.sqrt(np.maximum(p.sum(1, dtype=np.float64), 1))
         return (p @ self.landmarks.T).astype(np.float64) / n[:, None] / self.sizes[None, :]
 
@@ -109,7 +122,8 @@ def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float
     dense = base + base**2 + base**3
     m = Model(langs, letters, np.zeros(0), np.zeros((1, dense)), np.ones(1), np.zeros(0))
     by = {lang: [t for t, x in zip(texts, labels, strict=True) if x == lang] for lang in langs}
-    marks = [t for lang in langs for t in by[lang][: max(1, n_landmarks // len(langs))]]
+    each = max(1, n_landmarks // len(langs))
+    marks = [t for lang in langs for t in by[lang][:each]]
     used = np.zeros(dense, bool)
     for t in marks:
         for g in _grams(m.classes(t), base):
@@ -125,6 +139,14 @@ def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float
     half = vectors[:, keep] / np.sqrt(values[keep])
     k = np.concatenate([m.kernel(texts[i : i + 128]) for i in range(0, len(texts), 128)]) @ half
     y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
+    others = [t for lang in langs for t in by[lang][each:] if any(map(str.isalpha, t))]
+    shares = []
+    for i in range(0, len(others), 128):
+        unknown = np.zeros(len(others[i : i + 128]))
+        known = m.presence(others[i : i + 128], unknown).sum(1)
+        shares.extend(unknown / (known + unknown))
+    if len(shares) >= 20:  # fewer tell nothing: then a text needs half of its grams known
+        m.unknown = float(min(0.5, max(0.05, 2 * np.quantile(shares, 0.99, method="higher"))))
     m.weights = half @ np.linalg.solve(k.T @ k + ridge * len(texts) * np.eye(k.shape[1]), k.T @ y)
     return m
 
@@ -152,27 +174,32 @@ def training_sample(
     return [t for x in sorted(got) for t in got[x]], [x for x in sorted(got) for _ in got[x]]
 
 
-def predict(model: Model | None, texts: list[str | None], batch: int = 128) -> tuple[list[str], list[float]]:
-    """The best label and its margin mapped from -1..1 to 0..1."""
+def predict(model: Model | None, texts: list[str | None], batch: int = 128, reject: bool = False) -> tuple[list[str], list[float]]:
+    """The best label and its margin mapped from -1..1 to 0..1; reject: `und` without evidence of a learned language."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
     real = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     for at in range(0, len(real), batch):
         part = real[at : at + batch]
-        margins = model.kernel([texts[i] for i in part]) @ model.weights
-        for i, row in zip(part, margins, strict=True):
+        unknown = np.zeros(len(part)) if reject else None
+        presence = model.presence([texts[i] for i in part], unknown)
+        margins = model.kernel([], presence) @ model.weights
+        foreign = model.foreign(presence, unknown) if reject else np.zeros(len(part), bool)
+        for i, row, out in zip(part, margins, foreign, strict=True):
+            if out:
+                continue
             top = int(row.argmax())
             langs[i], scores[i] = model.langs[top], float(min(1.0, max(0.0, (row[top] + 1) / 2)))
     return langs, scores
 
 
-def _scorer(shared, at: int, cut: int):
+def _scorer(shared, at: int, cut: int, reject: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                lang, score = predict(shared.value, batch.column(at).to_pylist())
+                lang, score = predict(shared.value, batch.column(at).to_pylist(), reject=reject)
                 kept = list(batch.columns)[:cut]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[f"c{i}" for i in range(len(kept) + 2)]
@@ -190,24 +217,28 @@ def identify(
     per_lang: int = 400,
     max_langs: int = 100,
     max_chars: int = 20_000,
+    reject: bool = False,
 ) -> DataFrame:
-    """docs with lang_pred and score appended; any other columns pass through unread, whatever their names."""
+    """docs with lang_pred and score appended; any other columns pass through unread, whatever their names.
+
+    reject: texts without evidence of a learned language are `und` with score 0.
+    """
     bound_batches(docs.sparkSession)
     model = fit(*training_sample(learn_from, id_col, text_col, lang_col, per_lang, max_langs, max_chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
     n = len(docs.columns)
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(plain.dtypes)] + [f"c{n} string", f"c{n + 1} double"])
-    return plain.mapInArrow(_scorer(shared, docs.columns.index(text_col), n), schema).toDF(*docs.columns, "lang_pred", "score")
+    return plain.mapInArrow(_scorer(shared, docs.columns.index(text_col), n, reject), schema).toDF(*docs.columns, "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
-    """Documents in a learned language; rejected are `und` and texts nearer to no language than to any."""
+    """Documents in a learned language; rejected are `und`, texts without evidence of one and scores under min_score."""
     n = len(docs.columns)
     at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang")}
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     columns = {"id_col": at["doc_id"], "text_col": at["text"], "lang_col": at["lang"]}
-    found = identify(plain, plain.where(fold_of(at["doc_id"]) != 0), **columns)
+    found = identify(plain, plain.where(fold_of(at["doc_id"]) != 0), reject=True, **columns)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score").toDF(*docs.columns)
 
 

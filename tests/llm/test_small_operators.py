@@ -87,6 +87,13 @@ def test_language_filter_keeps_columns(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
 
 
+def test_language_filter_rejects_texts_in_no_learned_language(spark):
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку", "今天天气很好我们去公园散步", "xkqz wvbj zzxq qqkj vwxz kjqx bzwv jqkz"]
+    docs = [*_lang_docs(), *[(500 + i, t, None) for i, t in enumerate(foreign)]]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(240)) | {242, 243}
+
+
 # embeddings
 
 
