@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": f"WITH {mixing.sql('documents')} SELECT doc_id, topic, n_tokens, round(prob, 6) AS prob, round(weight, 6) AS weight, sampled FROM mix_rows",
-        "op8_line_dedup": f"""WITH {linededup.SQL.format(docs="documents")}
+        "op8_line_dedup": f"""WITH RECURSIVE {linededup.SQL.format(docs="documents")}
             SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN clean END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
             FROM documents d LEFT JOIN line_kept k ON d.text = k.text""",
     }
