@@ -7,9 +7,9 @@ counts by a shuffle, so every word of every text gets its own count.
 
 The network (grulm) is trained in numpy in every task on whole texts, starting from one model, and the tasks' parameters
 are averaged, weighted by their tokens, in each round (parameter mixing, McDonald et al. 2010). Each round takes another
-fold of the training documents; the rounds together take them all. The averages are grouped sums over slices of the parameters, first over salted subgroups, so what is
-gathered follows the corpus and no task or driver gets all models at once. A score is the sum over all tokens of the whole
-text, states carried across windows.
+fold of the training documents; the rounds together take them all. The averages are sums over slices of the parameters in a
+tree whose depth follows the number of tasks, so no task or driver gets all models at once. A score is the sum over all
+tokens of the whole text, states carried across windows.
 
 Defined results: a null text is empty (one end token); a null id counts as training (crc32 of the empty text is 0);
 repeated rows are separate documents; an empty training fold gives scores from the smoothing alone; other columns
@@ -44,7 +44,7 @@ def _count(n_classes: int, most: int = 400_000):
     def flush(seen: Counter) -> pa.RecordBatch:
         w = list(seen)
         return pa.RecordBatch.from_arrays(
-            [pa.array(w, pa.binary()), pa.array([grulm.tail_class(x, n_classes) for x in w], pa.int32()), pa.array(list(seen.values()), pa.int64())],
+            [pa.array(w, pa.binary()), pa.array(grulm.tail_classes(w, n_classes), pa.int32()), pa.array(list(seen.values()), pa.int64())],
             names=["word", "k", "n"],
         )
 
@@ -74,13 +74,16 @@ class Lexicon:
         self.index = {w: i for i, w in enumerate(listed)}
         s, n_head = self.shape, table["head"]
         self.n_head = n_head
+        self.head = dict(zip(listed[:n_head], range(n_head), strict=True))
         tail = listed[n_head:]
         self.log_count = np.log10(table["counts"] + 0.5)
-        self.cls = np.concatenate(
-            (np.arange(n_head) // s.per_class, s.head_classes + np.array([grulm.tail_class(w, s.tail_classes) for w in tail], np.int64))
-        ).astype(np.int16)
-        self.word = np.concatenate((np.arange(n_head) % s.per_class, np.zeros(len(tail), np.int64))).astype(np.int16)
-        self.inp = np.concatenate((np.arange(n_head), s.head + np.array([grulm.input_bucket(w, s.buckets) for w in tail], np.int64))).astype(np.int16)
+        cls = np.concatenate(
+            (np.arange(n_head) // s.per_class, s.head_classes + np.array(grulm.tail_classes(tail, s.tail_classes), np.int64))
+        )
+        word = np.concatenate((np.arange(n_head) % s.per_class, np.zeros(len(tail), np.int64)))
+        inp = np.concatenate((np.arange(n_head), s.head + np.array(grulm.input_buckets(tail, s.buckets), np.int64)))
+        #: inp, cls, word of each dictionary word, in one row; the last row is also what far words read first.
+        self.packed = np.stack((inp, cls, word), axis=1).astype(np.int16)
         self.tail_log = np.log10(table["tail_tokens"] + 0.5 * (table["tail_words"] + 1))
         self.all_log = math.log10(table["tokens"] + 0.5 * (table["distinct"] + 1))
         self.end = self.index.get(END, 0)
@@ -98,18 +101,26 @@ class Lexicon:
         w = words(text)
         w.append(END)
         s = self.shape
-        ids = np.fromiter(map(self.index.get, w, repeat(-1)), np.int32, len(w))
-        cls, word, inp = self.cls[ids], self.word[ids], self.inp[ids]
-        far_at = np.flatnonzero(ids < 0)
+        # The few head words, most of all tokens, are looked up first: their table stays in a core's cache.
+        ids = np.fromiter(map(self.head.get, w, repeat(-1)), np.int32, len(w))
+        rest = np.flatnonzero(ids < 0).tolist()
+        ids[rest] = np.fromiter(map(self.index.get, [w[i] for i in rest], repeat(-1)), np.int32, len(rest))
+        near = self.packed[ids]
+        far_at = np.flatnonzero(ids < 0).tolist()
         far = [w[i] for i in far_at]
         if far:
-            cls[far_at] = [s.head_classes + grulm.tail_class(x, s.tail_classes) for x in far]
-            word[far_at] = 0
-            inp[far_at] = [s.head + grulm.input_bucket(x, s.buckets) for x in far]
-        return ids, far, (np.concatenate(([self.inp[self.end]], inp[:-1])).astype(np.int16), cls, word)
-
-
-def _train(lexicon, params, slices: int, pool: int = 1_500_000):
+            near[far_at, 0] = s.head
+            near[far_at, 0] += np.array(grulm.input_buckets(far, s.buckets), np.int16)
+            near[far_at, 1] = s.head_classes
+            near[far_at, 1] += np.array(grulm.tail_classes(far, s.tail_classes), np.int16)
+            near[far_at, 2] = 0
+        inp = np.empty(len(w), np.int16)
+        inp[0] = self.packed[self.end, 0]
+        inp[1:] = near[:-1, 0]
+        return ids, far, (inp, near[:, 1].copy(), near[:, 2].copy())
+
+
+def _train(lexicon, params, slices: int, pool: int = 2_500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.of(lexicon)
         p, tokens, seqs, size = params.value, 0, [], 0
@@ -136,17 +147,24 @@ def _train(lexicon, params, slices: int, pool: int = 1_500_000):
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["sum"])
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "tokens": [int(pdf["tokens"].sum())], "sum": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "slice": [pdf["slice"].iloc[0]], "tokens": [int(pdf["tokens"].sum())], "sum": [total.astype(np.float32).tobytes()]})
 
 
-def _mix(texts: DataFrame, lexicon, params: grulm.Params, slices: int = 32, salts: int = 16) -> grulm.Params:
-    """One round: trains in each task and averages the parameters."""
+def _mix(texts: DataFrame, lexicon, params: grulm.Params, slices: int = 32, together: int = 64) -> grulm.Params:
+    """One round: trains in each task and averages the parameters.
+
+    Slices of the parameters are summed in a tree: at most `together` tasks or sums in one group, whatever their number.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(params)  # its size is fixed by the shape
     schema = "slice int, tokens long, sum binary"
-    parts = texts.mapInArrow(_train(lexicon, shared, slices), schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    some = parts.groupBy("slice", "salt").applyInPandas(_add_up, schema)
-    rows = some.groupBy("slice").applyInPandas(_add_up, schema).orderBy("slice").collect()
+    tasks = texts.rdd.getNumPartitions()  # of the plan; nothing runs
+    sums = texts.mapInArrow(_train(lexicon, shared, slices), schema).withColumn("at", F.spark_partition_id())
+    while tasks > 1:
+        # `at` goes along as the group's key, not through the function.
+        sums = sums.withColumn("at", F.expr(f"at div {together}").cast("int")).groupBy("slice", "at").applyInPandas(_add_up, "at int, " + schema)
+        tasks = -(-tasks // together)
+    rows = sums.orderBy("slice").collect()  # `slices` rows, one model in all
     if not rows:
         return params
     flat = np.concatenate([np.frombuffer(r["sum"], np.float32) / np.float32(r["tokens"]) for r in rows])
@@ -203,7 +221,7 @@ def _tail_sums(counts: DataFrame, n: int, head: DataFrame) -> tuple[np.ndarray,
     for r in counts.groupBy("k").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect():
         tokens[r["k"]], distinct[r["k"]] = r["t"], r["v"]
     for w, c in head:
-        k = grulm.tail_class(w, n)
+        k = grulm.tail_classes([w], n)[0]
         tokens[k] -= c
         distinct[k] -= 1
     return tokens, distinct
