@@ -55,7 +55,7 @@ def rake(cells: DataFrame, rounds: int = 8, temper: float = 0.7) -> DataFrame:
     return out.select(*MARGINS, "tokens", "w")
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -67,7 +67,7 @@ def mix(
     temper: float = 0.7,
     most_cells: int = 50_000,
 ) -> DataFrame:
-    """docs with topic, n_tokens, prob, weight and sampled appended; fraction: the sample's share of all tokens."""
+    """The columns of docs as c0, c1, ..., then topic, n_tokens, prob, weight and sampled."""
     n = len(docs.columns)
     at = {c: f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col, lang_col)}
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
@@ -88,29 +88,30 @@ def mix(
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(at[id_col]).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.when(F.col("n_tokens") > 0, F.col("rate"))
     prob = F.coalesce(F.least(rate, F.lit(1.0)), F.lit(1.0))
-    return (
-        plain.join(rates, list(MARGINS), "left")
-        .select(
-            *[f"c{i}" for i in range(n)],
-            "topic",
-            "n_tokens",
-            prob.alias("prob"),
-            F.coalesce(F.greatest(rate, F.lit(1.0)), F.lit(1.0)).alias("weight"),
-            (draw < prob).alias("sampled"),
-        )
-        .toDF(*docs.columns, "topic", "n_tokens", "prob", "weight", "sampled")
+    return plain.join(rates, list(MARGINS), "left").select(
+        *[f"c{i}" for i in range(n)],
+        "topic",
+        "n_tokens",
+        prob.alias("prob"),
+        F.coalesce(F.greatest(rate, F.lit(1.0)), F.lit(1.0)).alias("weight"),
+        (draw < prob).alias("sampled"),
     )
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with topic, n_tokens, prob, weight and sampled appended; fraction: the sample's share of all tokens."""
+    return _mixed(docs, **options).toDF(*docs.columns, "topic", "n_tokens", "prob", "weight", "sampled")
+
+
 def op4(docs: DataFrame) -> DataFrame:
     mixed = mix(docs.select("doc_id", "text", "source", "lang"))
     return mixed.select("doc_id", "topic", "n_tokens", F.round("prob", 6).alias("prob"), F.round("weight", 6).alias("weight"), "sampled")
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The drawn documents with their columns, n_tokens and the weight that calibrates them."""
-    mixed = mix(docs)
-    return mixed.where("sampled").select(*docs.columns, "n_tokens", F.round("weight", 6).alias("weight"))
+    """The drawn documents with their columns, then n_tokens and the weight that calibrates them."""
+    drawn = _mixed(docs).where("sampled").withColumn("weight", F.round("weight", 6))
+    return drawn.drop("topic", "prob", "sampled").toDF(*docs.columns, "n_tokens", "weight")
 
 
 def sql(docs: str, rounds: int = 8) -> str:
