@@ -10,22 +10,24 @@ template put it.
 
 Defined results: turns go by turn number, then role, then text (nulls first), so repeated rows and ties have one order
 and repeated rows stay; a null text or role is empty; a null conversation id is a conversation; other columns are not
-read. A conversation is rendered as one row, since a model reads it as one.
+read. The turns of a conversation meet in one row, since its last example holds them all; every example is a row of its
+own, made one after the other, so what a worker holds is linear in the conversation.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.session import bound_batches
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-EXAMPLE = pa.struct([("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+SCHEMA = pa.schema([("id", pa.string()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
 
 def escape(s: str) -> str:
@@ -42,22 +44,21 @@ def unescape(s: str) -> str:
     return "".join(out) + s[i:]
 
 
-def examples(turns: list[tuple[str, str]]) -> list[dict]:
-    """[{text, loss_start, loss_end}] for (role, text) turns in order; -1, -1 without a trainable part."""
-    out, parts, size = [], [], 0
+def examples(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
+    """(text, loss_start, loss_end) for (role, text) turns in order; -1, -1 without a trainable part."""
+    before, size = [], 0
     open_ = False
     for role, text in turns:
         head, body = START + escape(role).replace("\n", "\\n") + "\n", escape(text)
-        parts.append(head + body + END)
+        before.append(head + body + END)
         at = size + len(head)
-        size += len(parts[-1])
+        size += len(before[-1])
         open_ = role != "assistant"
         if not open_:
-            parts = ["".join(parts)]
-            out.append({"text": parts[0], "loss_start": at, "loss_end": at + len(body)})
+            before = ["".join(before)]
+            yield before[0], at, at + len(body)
     if open_:
-        out.append({"text": "".join(parts), "loss_start": -1, "loss_end": -1})
-    return out
+        yield "".join(before), -1, -1
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -72,55 +73,73 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [examples([(t["role"] or "", t["text"] or "") for t in x.as_py()]) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(EXAMPLE))], names=["id", "examples"])
+def _render(kind: pa.DataType, most_chars: int = 4 << 20):
+    """One row for each example, those of a conversation one after the other; a batch ends at most_chars."""
+    schema = SCHEMA.set(0, pa.field("id", kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for k, e in enumerate(examples((t["role"].as_py() or "", t["text"].as_py() or "") for t in x)):
+                    rows.append((i, k, *e))
+                    size += len(e[0])
+                    if size >= most_chars:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    return run
 
-def format_conversations(
+
+def explode_examples(
     rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """Per conversation: id, examples array<struct<text, loss_start, loss_end>> in order of their replies."""
+    """One row for each training example: id, example (its number in the conversation), text, loss_start, loss_end.
+
+    The examples of a conversation stay together and in order.
+    """
     bound_batches(rows.sparkSession)
-    kind = dict(rows.dtypes)[id_col]
     turns = rows.select(
         F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t")
     )
-    return (
-        turns.groupBy("id")
-        .agg(F.array_sort(F.collect_list("t")).alias("turns"))
-        .mapInArrow(_render, f"id {kind}, examples array<struct<text:string,loss_start:long,loss_end:long>>")
-        .withColumnRenamed("id", id_col)
-    )
+    whole = turns.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    kind = to_arrow_type(whole.schema["id"].dataType)
+    return whole.mapInArrow(
+        _render(kind), f"id {whole.schema['id'].dataType.simpleString()}, example long, text string, loss_start long, loss_end long"
+    ).withColumnRenamed("id", id_col)
+
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads conversations back from their examples, which come one after the other."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    now: list = []  # id, last example, replies, characters
 
-def explode_examples(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """One row for each training example."""
-    return formatted.select(id_col, F.posexplode("examples").alias("example", "e")).select(id_col, "example", "e.*")
+    def row() -> tuple:
+        turns, loss = parse(now[1]), "".join(now[2])
+        whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+        return now[0], len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), now[3]
 
+    def out(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for x in batch.column(1):
-            made = x.as_py()
-            turns = parse(made[-1]["text"]) if made else []
-            loss = "".join(unescape(e["text"][e["loss_start"] : e["loss_end"]]) for e in made if e["loss_start"] >= 0)
-            row = (
-                len(turns),
-                hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                len(loss),
-                hashlib.sha256(loss.encode()).hexdigest(),
-                sum(len(e["text"]) for e in made),
-            )
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-        )
+        done = []
+        for i, example, text, start, end in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if example == 0:
+                if now:
+                    done.append(row())
+                now = [i, "", [], 0]
+            now[1] = text
+            now[3] += len(text)
+            if start >= 0:
+                now[2].append(unescape(text[start:end]))
+        if done:
+            yield out(done)
+    if now:
+        yield out([row()])
 
 
 def op9(conversations: DataFrame) -> DataFrame:
@@ -129,6 +148,6 @@ def op9(conversations: DataFrame) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
-    return format_conversations(rows).mapInArrow(
+    return explode_examples(rows).mapInArrow(
         _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
