@@ -5,12 +5,12 @@ strings ` w1 w2 ... w10 `, so an occurrence always falls on word boundaries. Eve
 scanned once, and the words hit are mapped back to code point offsets of the original.
 
 Defined results: null or word-less texts have no words and no hits; null or word-less items have no windows;
-items with equal windows are all reported; rows with equal ids stay separate rows; columns other than the
+a null item id counts as the empty string; items with equal windows are all reported; rows with equal ids stay separate rows; columns other than the
 two named ones are not read, so their names may clash with anything.
 
-The items are read in blocks of at most `block_bytes` of window text. Each block is one automaton, built once
-per Python worker, so memory is bounded whatever the size of the item table; the texts are scanned once
-for each block (one block at the size of any usual benchmark).
+The items are read in blocks of at most `block_bytes` of window text and one window, whatever the size of an item. Each
+block is one automaton, built once per Python worker, and a scan of its own with a written table before the next, so a
+worker holds one automaton at a time (one block at the size of any usual benchmark).
 """
 
 from __future__ import annotations
@@ -49,18 +49,17 @@ def windows(text: bytes | None, width: int) -> set[bytes]:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
     block: dict[bytes, list[str]] = {}
-    size = 0
+    size, empty = 0, True
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     for row in rows.toLocalIterator():
-        if row.i is None:
-            continue
         for w in windows(bytes(row.t) if row.t is not None else None, width):
-            block.setdefault(w, []).append(row.i)
+            block.setdefault(w, []).append(row.i or "")
             size += len(w)
-        if size >= block_bytes:
-            yield block
-            block, size = {}, 0
-    if block or not size:
+            if size >= block_bytes:
+                yield block
+                block, size = {}, 0
+                empty = False
+    if block or empty:
         yield block
 
 
@@ -184,6 +183,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     out = docs
     for block in _blocks(items, options.get("item_id", "item_id"), options.get("item_text", "text"), width, options.get("block_bytes", 8 << 20)):
         patterns = spark.sparkContext.broadcast(block)
+        if out is not docs:
+            out = materialize(out, "scan")
         out = out.mapInArrow(_keep(patterns, uuid.uuid4().hex, names.index(options.get("text_col", "text"))), docs.schema)
     return out
 
