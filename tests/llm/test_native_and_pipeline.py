@@ -127,3 +127,39 @@ def test_all_queries_are_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_a_leaf_holds_several_templates_and_one_text_makes_none(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    first = lambda: f"Posted by user {word()} in the forum about old ships"
+    second = lambda: f"Posted by user {word()} and shared with all good friends"
+    prose = lambda: " ".join(word() for _ in range(30))
+    docs = [(i, f"{prose()}\n{[first, second][i % 2]()}\n{prose()}") for i in range(12)]
+    alone = "\n".join(f"Item of list {word()} has a price of many coins" for _ in range(9))
+    docs.append((50, f"{prose()}\n{alone}"))
+    out = {x.doc_id: x for x in linededup.op8(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i].n_dropped == 1 and "Posted" not in out[i].text for i in range(12))
+    assert out[50].text == docs[-1][1] and out[50].n_dropped == 0
+
+
+def test_boilerplate_in_short_texts_goes_though_most_of_their_words_are_in_it(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(n))
+    line = prose(60)
+    own = [prose(40) for _ in range(10)]
+    out = linededup.op8(spark.createDataFrame([(i, f"{t}\n{line}") for i, t in enumerate(own)], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in out} == dict(enumerate(own))
+
+
+def test_stage_names_may_clash(spark):
+    line = "this line recurs in every text of the table"
+    rows = [(i, f"own words of {'abcdefgh'[i] * 6} here\n{line}", "s", "en", 1, 2, 3, 0.5, "t", 0.1, True, 7) for i in range(8)]
+    names = "doc_id long, text string, source string, lang string, n_lines int, n_dropped int, n_tokens int, weight double, topic string, prob double, sampled boolean, h int"
+    df = spark.createDataFrame(rows, names)
+    lines = corpus_pipeline.line_dedup(spark, df, SF)
+    assert lines.columns == df.columns and all(line not in x.text and x.n_lines == 1 for x in lines.collect())
+    mixed = corpus_pipeline.mixing_sources(spark, df, SF)
+    assert mixed.columns == [*df.columns, "n_tokens", "weight"] and {x[6] for x in mixed.collect()} <= {3}
+    kept = corpus_pipeline.ngram_join(spark, df, SF)
+    assert kept.columns == df.columns and kept.count() == 8

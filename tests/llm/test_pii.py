@@ -76,3 +76,81 @@ def test_trusted_context_finds_an_unseen_identifier(spark):
 def test_empty_table_and_repeated_rows(spark):
     assert pii.op2(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert pii.op2(spark.createDataFrame([(1, "a@b.c")] * 3, "doc_id long, text string")).count() == 3
+
+
+def bootstrap(texts, rounds=3, least=3, score=0.8, doubt=0.1):
+    """The same in plain loops: {(text, start, end): kind}."""
+    edges = []  # text, start, end, instance, pattern, kind, failed
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)
+        for k, s, e in [*base, *[(None, *c) for c in (pii.candidates(t, base) if t else [])]]:
+            for p in pii._patterns(t, s, e):
+                edges.append((i, s, e, t[s:e].lower(), p, k, pii._failed(t[s:e]) if k is None else None))
+    seeds = {(x[3], x[5]): 1.0 for x in edges if x[5] is not None}
+    believed = dict(seeds)
+    for _ in range(rounds):
+        trusted = {}
+        for p in {x[4] for x in edges}:
+            mine = [x for x in edges if x[4] == p]
+            good = {k: sum(believed.get((x[3], k), 0.0) for x in mine) for k in range(4)}
+            for k in range(4):
+                # As in the grouped sums: an instance counts once for each way in which it occurs as a seed or candidate.
+                support = sum(believed.get((inst, k), 0.0) for inst, *_ in {(x[3], x[5], x[6]) for x in mine})
+                fails = sum(x[6] == k for x in mine)
+                wrong = sum(good.values()) - good[k] + fails
+                unknown = max(0.0, len(mine) - sum(good.values()) - fails)
+                if good[k] and support >= least and good[k] / (good[k] + wrong + doubt * unknown) >= score:
+                    trusted[p, k] = good[k] / (good[k] + wrong + doubt * unknown)
+        believed = dict(seeds)
+        for inst in {x[3] for x in edges if x[5] is None} - {i for i, _ in seeds}:
+            for k in range(4):
+                said = {(x[4], x[6]) for x in edges if x[3] == inst and x[5] is None and (x[4], k) in trusted and x[6] != k}
+                if said:
+                    doubtful = 1.0
+                    for p, _ in said:
+                        doubtful *= max(1e-9, 1 - trusted[p, k])
+                    believed[inst, k] = 1 - doubtful
+    best = {}
+    for i, s, e, _, p, k0, failed in edges:
+        for k in range(4):
+            if k0 is None and failed != k and (p, k) in trusted:
+                best[i, s, e] = max(best.get((i, s, e), (0.0, -9)), (trusted[p, k], -k))
+    return {at: -k for at, (_, k) in best.items()}
+
+
+def test_discovery_equals_a_plain_bootstrapping_loop(spark):
+    import random
+
+    r = random.Random(1)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    texts = []
+    for i in range(60):
+        phone = f"({digits(3)}) {digits(3)}-{digits(4)}"
+        texts.append(
+            r.choice(
+                [
+                    f"please ring my phone +1 {phone} before noon",
+                    f"please ring my phone {phone} before noon",
+                    f"write to address u{i}@mail{i % 3}.org for more",
+                    f"write to address u{i} for more or u{digits(5)} now",
+                    f"the host at 10.0.{i}.{i} is up, the host at 900.1.{i}.3 is not",
+                    f"order number {digits(16)} was sent, call +1 {phone} 10.1.2.{i} then",
+                    None,
+                ]
+            )
+        )
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(x.doc_id, d.start, d.end): d.kind for x in rows for d in x.discovered}
+    assert got == bootstrap(texts)
+    # Whole phones without their country code, and those that the fixed pattern swallows with a neighbour.
+    plain_phones = {(i, t.index("("), t.index(" before")) for i, t in enumerate(texts) if t and "my phone (" in t}
+    assert plain_phones and all(got.get(x) == 3 for x in plain_phones)
+    for x in rows:
+        assert [(s.kind, s.start, s.end) for s in x.base] == plain(texts[x.doc_id] or "")
+
+
+def test_candidates_are_whole_runs_outside_base_spans():
+    t = "ring +1 (826) 555-4081 190.137.223.204 or 0168 555 5254, id a1b2c3d4 at 12:30"
+    base = pii.base_spans(t)
+    assert [t[s:e] for s, e in pii.candidates(t, base)] == ["+1 (826) 555-4081", "0168 555 5254", "a1b2c3d4"]
+    pii.candidates("1 " * 100_000, []), pii.candidates("1" + " " * 100_000 + "x" * 100_000, [])

@@ -94,6 +94,52 @@ def test_language_filter_rejects_texts_in_no_learned_language(spark):
     assert kept == set(range(240)) | {242, 243}
 
 
+def test_language_kernel_and_weights_equal_a_direct_computation():
+    import itertools
+
+    texts, labels = [t for _, t, g in _lang_docs() if t and g and len(t) < 500][:80], [g for _, t, g in _lang_docs() if t and g and len(t) < 500][:80]
+    texts += ["今天 天气", "Быстрая лиса 7", "a1b", ""]
+    labels += ["zh", "ru", "en", "en"]
+
+    def grams(t):
+        lower = t.lower()
+        c = [("\0" if not alpha else x) for alpha, run in itertools.groupby(lower, str.isalpha) for x in (run if alpha else ["\0"])]
+        return {tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)} - {("\0",)}
+
+    def kernel(a, b):
+        a, b = grams(a), grams(b)
+        return len(a & b) / math.sqrt(max(1, len(a))) / math.sqrt(max(1, len(b)))
+
+    m = langid.fit(texts, labels, n_landmarks=10)
+    langs = sorted(set(labels))
+    marks = [t for g in langs for t in [x for x, y in zip(texts, labels) if y == g][:2]]
+    direct = np.array([[kernel(t, x) for x in marks] for t in texts])
+    assert np.allclose(m.kernel(*m.presence(texts)), direct, atol=1e-6)
+    mm = np.array([[kernel(t, x) for x in marks] for t in marks])
+    values, vectors = np.linalg.eigh(mm)
+    keep = values > 1e-8 * values[-1]
+    features = direct @ (vectors[:, keep] / np.sqrt(values[keep]))
+    y = np.array([[1.0 if g == x else -1.0 for x in langs] for g in labels])
+    ridge = np.linalg.solve(features.T @ features + 1e-3 * len(texts) * np.eye(features.shape[1]), features.T @ y)
+    assert np.allclose(m.kernel(*m.presence(texts)) @ m.weights, features @ ridge, atol=1e-4)
+
+
+def test_gram_table_finds_all_and_nothing_else():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        table = langid.GramTable(keys)
+        assert (table.look_up(keys) == np.arange(len(keys))).all()
+        assert (table.look_up(r.integers(0, 2**64 - 1, 1000, dtype=np.uint64)) == -1).all()
+
+
+def test_language_learns_any_number_of_labels_and_repeated_rows(spark):
+    docs = [(i, "".join(chr(0x4E00 + 40 * (i % 130) + k) for k in range(12)), f"l{i % 130}") for i in range(1300)]
+    docs += [(5, docs[5][1], "l5")] * 3
+    rows = langid.op3(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert len(rows) == 1303 and all(r.lang_pred == f"l{r.doc_id % 130}" for r in rows)
+
+
 # embeddings
 
 
@@ -161,17 +207,23 @@ def test_chat_round_trip(spark):
 
 def test_each_reply_is_an_example_with_its_context():
     turns = [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2"), ("user", "u3")]
-    made = chatformat.examples(turns)
-    assert [chatformat.parse(e["text"]) for e in made] == [turns[:3], turns[:5], turns]
-    assert [e["text"][e["loss_start"] : e["loss_end"]] for e in made[:2]] == ["a1", "a2"] and made[2]["loss_start"] == -1
+    made = list(chatformat.examples(turns))
+    assert [chatformat.parse(t) for t, _, _ in made] == [turns[:3], turns[:5], turns]
+    assert [t[s:e] for t, s, e in made[:2]] == ["a1", "a2"] and made[2][1:] == (-1, -1)
 
 
 def test_chat_nulls_ties_and_repeats(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (None, 0, None, "x"), (2, None, "assistant", "z")]
-    f = chatformat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {r.conv_id: [chatformat.parse(e.text) for e in r.examples] for r in f.collect()}
-    assert got == {1: [[("user", ""), ("user", "b"), ("user", "b")]], None: [[("", "x")]], 2: [[("assistant", "z")]]}
-    assert chatformat.explode_examples(f).count() == 3
+    f = chatformat.explode_examples(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, example int"))
+    got = sorted((repr(r.conv_id), r.example, chatformat.parse(r.text)) for r in f.collect())
+    assert got == [("1", 0, [("user", ""), ("user", "b"), ("user", "b")]), ("2", 0, [("assistant", "z")]), ("None", 0, [("", "x")])]
+
+
+def test_chat_long_conversations_and_texts(spark):
+    rows = [(7, k, "assistant" if k % 2 else "user", f"t{k} " * 9) for k in range(600)] + [(8, 0, "user", "<|" * 300_000), (8, 1, "assistant", "\\" * 300_000)]
+    got = {r.conv_id: r for r in chatformat.op9(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[7].n_turns == 600 and got[8].loss_chars == 300_000
+    assert got[7].loss_sha256 == hashlib.sha256("".join(t for i, k, r, t in rows if i == 7 and r == "assistant").encode()).hexdigest()
 
 
 # language model
@@ -254,3 +306,91 @@ def test_lm_training_carries_the_state_through_a_long_text():
 
 def test_lm_empty(spark):
     assert lmscore.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def _plain_log_likelihood(p, shape, seq):
+    """Token by token, by the definition of the cell and of the two softmaxes."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    k, h, total = shape.hidden, np.zeros(shape.hidden), 0.0
+    for inp, cls, word in zip(*seq, strict=True):
+        e, hu = p["E"][inp] + p["b"], h @ p["U"]
+        z, r = sigmoid(e[:k] + hu[:k]), sigmoid(e[k : 2 * k] + hu[k : 2 * k])
+        n = np.tanh(e[2 * k :] + r * hu[2 * k :])
+        h = (1 - z) * n + z * h
+        logits = h @ p["Wc"] + p["bc"]
+        total += logits[cls] - np.log(np.exp(logits).sum())
+        if cls < shape.head_classes:
+            mine = slice(cls * shape.per_class, (cls + 1) * shape.per_class)
+            inner = p["Wo"][mine] @ h + p["bo"][mine]
+            total += inner[word] - np.log(np.exp(inner).sum())
+    return total
+
+
+def _small_network(seed=3):
+    g = lmscore.grulm
+    shape = g.Shape(head=6, per_class=4, tail_classes=3, buckets=4, hidden=5)
+    p = {k: v.astype(np.float64) for k, v in g.start_params(shape, np.array([5.0, 4, 3, 2, 1, 1]), np.array([3.0, 2, 1]), seed).items()}
+    r = np.random.default_rng(seed)
+    seqs = []
+    for n in (1, 7, 23, 40, 5):
+        cls = r.integers(0, shape.classes, n)
+        word = np.where(cls == 0, r.integers(0, 4, n), np.where(cls == 1, r.integers(0, 2, n), 0))
+        seqs.append((r.integers(0, 10, n).astype(np.int16), cls.astype(np.int16), word.astype(np.int16)))
+    return g, shape, p, seqs
+
+
+def test_lm_scores_equal_a_plain_forward_pass():
+    g, shape, p, seqs = _small_network()
+    want = [_plain_log_likelihood(p, shape, s) for s in seqs]
+    for steps, most in ((64, 1024), (3, 2), (1, 1), (7, 3)):
+        assert g.score(p, shape, seqs, steps, most) == pytest.approx(want, rel=1e-9)
+    wide = p | {"bc": p["bc"] + np.linspace(0, 200, shape.classes)}
+    assert g.score(wide, shape, seqs) == pytest.approx([_plain_log_likelihood(wide, shape, s) for s in seqs], rel=1e-9)
+
+
+def test_lm_gradients_equal_differences_of_the_loss():
+    g, shape, p, seqs = _small_network()
+    stream = g.Stream(seqs, 3)
+    (window,) = stream.windows(1000)
+    h = np.zeros((len(stream.sizes), shape.hidden))
+    logp, grads, (rows, e_grads), _ = g.window_grads(p, shape, stream, window, h)
+    full = grads | {"E": np.zeros_like(p["E"])}
+    full["E"][rows] = e_grads
+    assert logp.sum() == pytest.approx(sum(_plain_log_likelihood(p, shape, s) for s in seqs), rel=1e-9)
+    r = np.random.default_rng(1)
+    for name, grad in full.items():
+        for _ in range(12):
+            at = tuple(r.integers(0, n) for n in p[name].shape)
+            loss = []
+            for d in (1e-6, -1e-6):
+                moved = p | {name: p[name].copy()}
+                moved[name][at] += d
+                loss.append(-g.score(moved, shape, seqs).sum())
+            assert grad[at] == pytest.approx((loss[0] - loss[1]) / 2e-6, rel=1e-4, abs=1e-6), (name, at)
+
+
+def test_lm_repeated_rows_null_ids_and_clashing_names(spark):
+    docs = [(7, "same text", "x", 1), (7, "same text", "y", 2), (None, "other text", "z", 3), (8, None, None, None)]
+    got = lmscore.score_documents(spark.createDataFrame(docs, "doc_id long, text string, held_out string, n_tokens int")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens) for x in got) == [(False, 7, 3), (False, 7, 3), (False, 8, 1), (True, 0, 3)]
+    assert len({x.score for x in got if x.doc_id == 7}) == 1
+
+
+def test_lm_sums_are_a_tree_of_bounded_groups(spark):
+    docs = [(i, f"w{i % 9} w{i % 4} w{i % 3}") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    shape = lmscore.grulm.Shape(head=10, per_class=4, tail_classes=4, buckets=16, hidden=8)
+    seen = []
+
+    def mix(texts, lexicon, params):
+        one, tree = (lmscore_mix(texts, lexicon, params, together=t) for t in (64, 2))
+        seen.append(all(np.allclose(one[k], tree[k], atol=1e-4) for k in one))
+        return one
+
+    lmscore_mix = lmscore._mix
+    lmscore._mix = mix
+    try:
+        assert lmscore.score_documents(frame, shape=shape).count() == 200
+    finally:
+        lmscore._mix = lmscore_mix
+    assert seen == [True, True]
