@@ -3,6 +3,11 @@
 Language ID drops texts without a learned language, line dedup takes recurring lines out of the texts, the n-gram join
 keeps one document of each group of near-duplicates, decontamination drops documents with benchmark passages, and
 mixing draws the sample with its weights.
+
+Defined results: a null, empty or letterless text goes at the first stage; a null id is a document like any other, never a
+near-duplicate and drawn as the empty id; rows that repeat an id and a text become one row at the n-gram join; ties between
+near-duplicates go to the smallest id; texts of any length are read whole; empty tables give no rows and the same columns;
+further columns pass through untouched, whatever their names, and the last stage appends n_tokens and weight after them.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.drop_recurring_lines(docs).select(*docs.columns)
+    return linededup.without_recurring_lines(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
