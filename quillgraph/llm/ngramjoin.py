@@ -252,6 +252,25 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _singles(size: int):
+    """(one, then _store()'s columns) of single documents; where one is false, bitmaps are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _each_set(batches, size):
+            ones = batch.column(3).to_pylist()
+            maps = [_bitmap(s) if one else None for one, s in zip(ones, sets, strict=True)]
+            single = lambda xs, kind: pa.array([[x] if x is not None else None for x in xs], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(3), batch.column(0), batch.column(1), single(batch.column(2).to_pylist(), pa.int64()), single([s.tobytes() for s in sets], pa.binary()),
+                    pa.nulls(len(sets), pa.binary()), single(map(len, sets), pa.int32()), single(maps, pa.binary()), pa.array(maps, pa.binary()),
+                ],
+                names=["one", "g", "part", "labels", "sets", "tokens", "sizes", "maps", "tokens_map"],
+            )
+
+    return run
+
+
 def _bound(num: int, den: int):
     """Keeps the pairs of parts in which some query document may share ceil(t n) tokens with the other part's union."""
 
@@ -314,6 +333,19 @@ def _with_ids(rows: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids, on, how)
 
 
+def _split_join(rows: DataFrame, small: DataFrame, on: list[str], size: str, least: int = 1000, most: int = 200_000) -> DataFrame:
+    """Inner join with a table of one row for each key that says in `size` how many rows the key has.
+
+    The keys of many rows are broadcast, `most` at most: the bar doubles until they fit. Only the others are shuffled, so no task
+    gets more rows of one key than the bar.
+    """
+    while small.where(F.col(size) > least).limit(most + 1).count() > most:
+        least *= 2
+    hot = small.where(F.col(size) > least).drop(size)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(F.col(size) <= least).drop(size), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def by_token_groups(member: DataFrame, groups: DataFrame, parts: DataFrame) -> DataFrame:
     """g of the groups of several documents that links don't hold together."""
     return parts.where("docs > 1").select("g").join(member.join(groups.select("id"), "id", "left_anti").select("g").distinct(), "g", "left_semi")
@@ -341,26 +373,30 @@ def link_documents(
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     s = materialize(base.mapInArrow(_digests(size), "id long, n int, key binary, m0 long, m1 long, m2 long, m3 long"), "sets", ROWS)
     real = s.where("key is not null and id is not null")
-    classes = real.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = materialize(
+        real.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes", shrink=16
+    )
     copies = materialize(
-        real.select("id", "key").join(classes, "key").where("id <> rep").select("id", "rep").distinct(), "copies", shrink=16
+        _split_join(real.select("id", "key"), classes, ["key"], "copies").where("id <> rep").select("id", "rep").distinct(), "copies", shrink=16
     )
-    reps = _with_ids(real, "id", copies.select("id"), "left_anti")
+    release(classes)
+    reps = materialize(_with_ids(real, "id", copies.select("id"), "left_anti").select("id", "n", "m0", "m1", "m2", "m3"), "reps", shrink=4)
     texts = _with_ids(base.where("id is not null"), "id", copies.select("id"), "left_anti")
 
     # Groups of similar documents: each is compared with the hubs of its min-hashes if the sizes fit and a second
     # min-hash agrees. A pair missed here is found by the matrix.
     mins = [f"m{i}" for i in range(4)]
     keyed = reps.select("id", "n", *mins, F.posexplode(F.array(*mins)).alias("i", "m"))
-    hubs = (
+    hubs = materialize(
         keyed.groupBy("i", "m")
-        .agg(F.min(F.struct("id", "n", *mins)).alias("hub"), F.max("id").alias("last"))
+        .agg(F.min(F.struct("id", "n", *mins)).alias("hub"), F.max("id").alias("last"), F.count("*").alias("docs"))
         .where("hub.id < last")
-        .drop("last")
+        .drop("last"),
+        "hubs", shrink=16,
     )
     same = sum(((F.col(f"hub.{c}") == F.col(c)).cast("int") for c in mins), F.lit(0))
     near = materialize(
-        keyed.join(hubs, ["i", "m"])
+        _split_join(keyed, hubs, ["i", "m"], "docs")
         .where((F.col("id") != F.col("hub.id")) & (same >= 2))
         .where((F.col("n") * den >= F.col("hub.n") * num) & (F.col("hub.n") * den >= F.col("n") * num))
         .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
@@ -377,9 +413,9 @@ def link_documents(
     )
     hub_links = materialize(hub_links, "links", ROWS, 4)
     groups = materialize(components(hub_links).withColumnRenamed("node", "id").withColumnRenamed("component", "g"), "groups", shrink=16)
-    for t in (near, ids, cand):
+    for t in (near, ids, cand, hubs):
         release(t)
-    del keyed, hubs, hub_links
+    del keyed, hub_links
     forget_shuffles(spark)
 
     # One order of all tokens: the frequent ones last.
@@ -407,14 +443,14 @@ def link_documents(
     cells = matrix.where("token is not null")
     left = cells.select("token", F.col("g").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
     right = cells.select("token", F.col("g").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    both = left.join(right, "token").where("a < b").where((F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num))
+    if _needed(least, num, den) >= k:
+        shared = both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    else:  # small sets may link by fewer than k tokens: then all that they need
+        need = F.ceil(F.greatest(F.min("lo_a"), F.min("lo_b")) * num / den)
+        shared = both.groupBy("a", "b").agg(F.count("*").alias("n"), need.alias("need")).where(F.col("n") >= F.least(F.lit(k), "need"))
     pairs = materialize(
-        left.join(right, "token")
-        .where("a < b")
-        .where((F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num))
-        .groupBy("a", "b")
-        .count()
-        .where(F.col("count") >= k)
-        .select("a", "b"),
+        shared.select("a", "b"),
         "pairs",
         shrink=4,
     )
@@ -432,19 +468,23 @@ def link_documents(
         pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).union(inner.select("g")).distinct(), "ids", shrink=16
     )
     few = member.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    where = member.join(parts, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    where = member.join(parts, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), (F.col("docs") == 1).alias("one"))
     placed = labelled.select("id", F.coalesce("g", "id").alias("label"), "text").join(F.broadcast(where) if few else where, "id", "left")
-    placed = placed.select(F.coalesce("g", "id").alias("g"), F.coalesce("part", F.lit(0)).alias("part"), "label", "text")
-    stored = materialize(
-        _with_ids(placed, "g", ids, "left_semi")
-        .mapInArrow(_with_sets(size), "g long, part long, label long, sh binary")
+    placed = placed.select(
+        F.coalesce("g", "id").alias("g"), F.coalesce("part", F.lit(0)).alias("part"), "label", F.coalesce("one", F.lit(True)).alias("one"), "text"
+    )
+    placed = _with_ids(placed, "g", ids, "left_semi")
+    schema = "g long, part long, labels array<long>, sets array<binary>, tokens binary, sizes array<int>, maps array<binary>, tokens_map binary"
+    # One scan: a document that is its own group is stored at once, those of one part meet by a shuffle.
+    made = materialize(placed.mapInArrow(_singles(size), f"one boolean, {schema}"), "made", ROWS)
+    together = (
+        made.where("not one")
         .groupBy("g", "part")
-        .agg(F.collect_list(F.struct("label", "sh")).alias("x"))
+        .agg(F.collect_list(F.struct(F.col("labels")[0].alias("label"), F.col("sets")[0].alias("sh"))).alias("x"))
         .select("g", "part", "x.label", "x.sh")
-        .mapInArrow(_store, "g long, part long, labels array<long>, sets array<binary>, tokens binary, sizes array<int>, maps array<binary>, tokens_map binary"),
-        "stored",
-        20,
     )
+    parted = materialize(together.mapInArrow(_store, schema), "stored", 20)
+    stored = made.where("one").drop("one").unionByName(parted)
     forget_shuffles(spark)
     # The bound first, on bitmaps; whole sets are fetched only for the parts that it leaves.
     side = lambda s, *cs: stored.select(F.col("g").alias(s), F.col("part").alias(f"p{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cs])
@@ -462,8 +502,7 @@ def link_documents(
         4,
     )
     ids = materialize(qualified.select(F.col("a").alias("g")).union(qualified.select(F.col("b").alias("g"))).distinct(), "ids", shrink=16)
-    whole = stored
-    stored = _with_ids(whole, "g", ids, "left_semi")
+    stored = _with_ids(stored, "g", ids, "left_semi")
     opened = (
         qualified.join(side("a", "labels", "sets", "maps"), ["a", "pa"])
         .join(side("b", "labels", "sets", "maps", "tokens"), ["b", "pb"])
@@ -472,7 +511,7 @@ def link_documents(
     )
     opened = materialize(opened, "links", 20, 4)
     joined = materialize(components(opened).withColumnRenamed("node", "g"), "joined", shrink=16)
-    for t in (pairs, ids, qualified, parts, whole, member):
+    for t in (pairs, ids, qualified, parts, made, parted, member, opened):
         release(t)
 
     of_rep = groups.join(joined, "g", "full_outer").select(
@@ -486,10 +525,22 @@ def link_documents(
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component (the smallest id), with all columns; a null id is kept."""
-    found = link_documents(docs, **options)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", shrink=16)
-    return _with_ids(docs, "doc_id", gone, "left_anti")
+    """One document of each component (the smallest id), with all columns; a null id is kept.
+
+    Of several rows with one id, those with one text become one row; an id whose rows differ in their text keeps each text once.
+    """
+    n = len(docs.columns)
+    at, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    plain = docs.toDF(*[f"c{i}" for i in range(n)])
+    found = materialize(link_documents(plain, id_col=at, text_col=text, **options).toDF("id", "n", "component"), "found", shrink=4)
+    gone = materialize(found.where("id <> component").select(F.col("id").alias(at)).distinct(), "gone", shrink=16)
+    again = materialize(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(at)), "again", shrink=16)
+    release(found)
+    kept = _with_ids(plain, at, gone, "left_anti")
+    if again.limit(1).count():
+        once = _with_ids(kept, at, again, "left_semi").dropDuplicates([at, text])
+        kept = _with_ids(kept, at, again, "left_anti").unionByName(once)
+    return kept.toDF(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:

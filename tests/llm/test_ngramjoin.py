@@ -85,3 +85,24 @@ def test_representatives_keep_all_columns(spark):
     kept = ngramjoin.keep_representatives(docs)
     want = brute(corpus(3), 5, 80, 100)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+
+
+def test_small_sets_link_by_fewer_tokens_than_the_usual_number(spark):
+    docs = [(0, "a b c d e f g"), (1, "a b c d e f"), (2, "b c d e f g"), (3, "x y z u v w q r"), (4, "x y z u v w q"), (5, "a x b y")]
+    rows = ngramjoin.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), size=4, num=60, den=100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == brute(docs, 4, 60, 100)
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i < 60 else i) for i in range(100)], "id long, key long")
+    small = rows.groupBy("key").count().selectExpr("key", "count as copies", "key * 10 as x").where("copies > 1 or key = 77")
+    for least, most in ((1000, 10), (5, 10), (1, 2)):
+        got = sorted((r.id, r.key, r.x) for r in ngramjoin._split_join(rows, small, ["key"], "copies", least, most).collect())
+        assert got == sorted((i, k, 10 * k) for i, k in [(i, i % 3 if i < 60 else i) for i in range(100)] if k < 3 or k == 77)
+
+
+def test_repeated_rows_and_long_texts_at_the_stage(spark):
+    long_text = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+    docs = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "quite another text of more words"), (2, long_text), (3, long_text + " end"), (None, "q"), (None, "q"), (4, None)]
+    kept = ngramjoin.keep_representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, (r.text or "")[:5]) for r in kept) == [(-1, "q"), (-1, "q"), (1, "one t"), (1, "quite"), (2, "w0x0 "), (4, "")]
