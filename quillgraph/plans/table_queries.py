@@ -321,7 +321,7 @@ def j9(spark, sf):
     return etl.signature_map(old, new).select(F.col("signature").cast("long").alias("key"), "change")
 
 
-@query("j12_mirror_missing", f"""WITH {CALLS_SQL} SELECT src, dst FROM calls WHERE (dst, src) NOT IN (SELECT src, dst FROM calls)""")
+@query("j12_mirror_missing", f"""WITH {CALLS_SQL} SELECT src, dst FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls m WHERE m.src = c.dst AND m.dst = c.src)""")
 def j12(spark, sf):
     e = calls(spark, sf)
     return etl.mirror_missing(e, e)[0]
