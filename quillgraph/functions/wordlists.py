@@ -18,8 +18,13 @@ PLAIN_TERMS = (
     "search sort max min begin finish done load save open close"
 ).split()
 
-# Our own default list for rationale specificity; callers may pass theirs.
-DOMAIN_TERMS = "combat damage spell player character room object affect skill level command mobile".split()
+# Domain terms that make a rationale specific.
+DOMAIN_TERMS = (
+    "damage spell magic combat character player mobile mob room area effect affect buff debuff weapon skill level experience hit attack "
+    "defense poison heal cure cast ability stat attribute condition mortal immortal deity mana hitpoint movement fight flee death respawn "
+    "save resist immunity vulnerability flag bitvector tick pulse act command do_ spell_ spec_ clan guild race class alignment karma "
+    "reputation quest auction shop object item container wear wield inventory equipment"
+).split()
 
 # Keywords of each subsystem class, in the order that breaks ties.
 CLASS_KEYWORDS = {

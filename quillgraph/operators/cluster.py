@@ -474,3 +474,70 @@ def centre_named_hierarchy(classes: DataFrame, communities_: DataFrame, central:
     mid = rows.where(F.col("n") > direct).select(F.col("class").alias("parent"), F.col("head").alias("child"), F.lit(1).alias("level")).distinct()
     leaf = rows.where(F.col("n") > direct).select(F.col("head").alias("parent"), F.col("grp").alias("child"), F.lit(2).alias("level"))
     return few.unionByName(mid).unionByName(leaf)
+
+
+def entity_texts(documents: DataFrame, key: str = "node") -> DataFrame:
+    """key, text: brief, details, rationale and returns in one cleaned text; entities without any have no row (CL6)."""
+    part = lambda c, name="": F.when(F.col(c) != "", F.concat(F.lit(name), F.col(c)))
+    parts = F.concat_ws(" ", part("brief"), part("details"), part("rationale", "Rationale: "), part("returns", "Returns: "))
+    return documents.select(key, parts.alias("text")).where("text <> ''").select(key, scalars.clean_text(F.col("text")).alias("text"))
+
+
+def analyse_clusters(membership: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
+    """cluster, name, classification, dominant_type, key_concepts, entity_count, internal_connectivity, frequent_terms (CL20).
+
+    membership: node, cluster; names: node, name, kind. The name joins the two most frequent terms that are no keyword of the
+    class, or is the class and the dominant type. Ties go to the lesser term or type.
+    """
+    rows = membership.join(names, "node")
+    terms = term_counts(rows, "cluster", "name").withColumnRenamed("grp", "cluster")
+    kinds = rows.groupBy("cluster", "kind").agg(F.count("*").alias("n"))
+    dominant = kinds.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind")).getField("kind").alias("dominant_type"))
+    classes = classify_groups(terms.withColumnRenamed("cluster", "grp")).toDF("cluster", "classification")
+    concepts = key_concepts(terms.withColumnRenamed("cluster", "grp"), classes.toDF("grp", "class")).toDF("cluster", "key_concepts")
+    w = Window.partitionBy("cluster").orderBy(F.desc("n"), "term")
+    frequent = terms.withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "term", "n"))).alias("x"))
+    frequent = frequent.select("cluster", F.transform("x", lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("frequent_terms"))
+    out = membership.groupBy("cluster").agg(F.count("*").alias("entity_count")).join(dominant, "cluster", "left").join(classes, "cluster", "left")
+    out = out.join(concepts, "cluster", "left").join(frequent, "cluster", "left").join(density(edges, membership).withColumnRenamed("density", "internal_connectivity"), "cluster", "left")
+    title = F.transform(F.slice(F.split("key_concepts", ","), 1, 2), lambda t: F.initcap(t))
+    plain = F.concat_ws(" ", F.coalesce("classification", F.lit("Core")), F.coalesce("dominant_type", F.lit("unknown")))
+    return out.select(
+        "cluster", F.when(F.col("key_concepts") != "", F.concat_ws(" ", title)).otherwise(plain).alias("name"), F.coalesce("classification", F.lit("Core")).alias("classification"),
+        F.coalesce("dominant_type", F.lit("unknown")).alias("dominant_type"), "key_concepts", "entity_count", "internal_connectivity", "frequent_terms",
+    )
+
+
+def class_counts(analysis: DataFrame) -> DataFrame:
+    """classification, subsystems, entities, the most subsystems first (NB12); of analyse_clusters rows."""
+    return analysis.groupBy("classification").agg(F.count("*").alias("subsystems"), F.sum("entity_count").alias("entities")).orderBy(F.desc("subsystems"), "classification")
+
+
+def entity_summaries(entities: DataFrame, callers: DataFrame) -> DataFrame:
+    """node, summary for prompts: kind and name, signature, brief, details, callers, with bars between (NB13).
+
+    entities: node, kind, name, signature, brief, details; callers: node, caller (a name).
+    """
+    said = lambda c, label: F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
+    called = callers.groupBy("node").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    kind = F.when(F.col("kind") != "", F.col("kind")).otherwise("unknown")
+    parts = [
+        F.concat(F.lit("["), F.coalesce(kind, F.lit("unknown")), F.lit("] "), F.coalesce("name", F.lit(""))), F.when(F.col("signature") != F.col("name"), said("signature", "Signature: ")),
+        said("brief", "Brief: "), said("details", "Details: "), F.transform("callers", lambda c: F.concat(F.lit("Called by: "), c)),
+    ]
+    return entities.join(called, "node", "left").select("node", F.concat_ws(" | ", *parts).alias("summary"))
+
+
+def document_entities(membership: DataFrame, key_entities: DataFrame, most: int = 10) -> DataFrame:
+    """cluster, node, role: the key entities, filled up with further nodes in their order to at most `most` (NB14)."""
+    keys = key_entities.select("cluster", "node").distinct().withColumn("key", F.lit(True))
+    w = Window.partitionBy("cluster").orderBy(F.coalesce("key", F.lit(False)).desc(), "node")
+    ranked = membership.select("cluster", "node").join(keys, ["cluster", "node"], "left").withColumn("r", F.row_number().over(w))
+    return ranked.where(F.col("key") | (F.col("r") <= most)).select("cluster", "node", F.when(F.col("key"), "key").otherwise("sample").alias("role"))
+
+
+def group_distribution(rows: DataFrame, group: str, measures: list[str]) -> DataFrame:
+    """group, measure, statistic, value: mean and quartiles of each measure, one row for each (AG24)."""
+    long = rows.unpivot([group], measures, "measure", "x")
+    stats = long.groupBy(group, "measure").agg(F.avg("x").alias("mean"), *[F.expr(f"percentile(x, {q})").alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
+    return stats.unpivot([group, "measure"], ["mean", "p25", "p50", "p75"], "statistic", "value")

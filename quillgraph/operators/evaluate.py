@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import vectors
+from quillgraph.operators import graph
+
+
+def score_blocks(rows: DataFrame, queries: DataFrame, vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """rows with query columns (query, category) and score, every row against every query (EV3, EV5).
+
+    queries: query, q, category. They are dealt into blocks of about `block` by a hash of their id, and each block's side of
+    the join is broadcast: at most some thousand vectors, however many queries there are.
+    """
+    n = -(-queries.count() // block) or 1
+    parts = []
+    for k in range(n):
+        mine = F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k))
+        parts.append(rows.join(mine).select(*[c for c in rows.columns if c != vector], "query", "category", vectors.cosine(vector, "q").alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
 
 def rank_results(results: DataFrame, query: str = "query", key: str = "id", score: str = "score") -> DataFrame:
     """results with rank by score, ties by key (EV3)."""
@@ -46,3 +65,37 @@ def report(per_query: DataFrame, category: str = "category") -> DataFrame:
     """category, n, mrr, recall_10, recall_20, with a row `all` (EV4)."""
     every = per_query.unionByName(per_query.withColumn(category, F.lit("all")))
     return every.groupBy(category).agg(F.count("*").alias("n"), F.avg("reciprocal_rank").alias("mrr"), F.avg("recall_10").alias("recall_10"), F.avg("recall_20").alias("recall_20"))
+
+
+def channel_candidates(channels: list[tuple[str, DataFrame]], view: str, per_channel: int = 20) -> DataFrame:
+    """query, id, view, channel, score, ord: each channel's best rows, an id under the first channel that has it (EV5).
+
+    channels: (name, rows of query, id, score), in their order of precedence.
+    """
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    parts = [
+        rows.select("query", "id", F.round("score", 4).alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_channel)
+        .select("query", "id", F.struct(F.lit(k).alias("k"), F.col("r"), F.lit(name).alias("channel"), F.col("score")).alias("c"))
+        for k, (name, rows) in enumerate(channels)
+    ]
+    first = reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.min("c").alias("c"))
+    order = Window.partitionBy("query").orderBy("c.k", "c.r")
+    return first.select("query", "id", F.lit(view).alias("view"), "c.channel", "c.score", F.row_number().over(order).alias("ord"))
+
+
+def graph_candidates(edges: DataFrame, found: DataFrame, known: DataFrame, seeds: int) -> DataFrame:
+    """query, id, seed, relation: neighbours of a query's first `seeds` candidates, without the seeds (EV5, GR28).
+
+    found: query, id, ord over all views. A neighbour stands once for a query, under its first seed.
+    """
+    w = Window.partitionBy("query").orderBy("ord", "id")
+    top = found.groupBy("query", "id").agg(F.min("ord").alias("ord")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= seeds)
+    near = graph.seed_neighbours(edges, top.select(F.col("id").alias("seed")), known)
+    rows = top.select("query", F.col("id").alias("seed"), "r").join(near, "seed")
+    rows = rows.join(top.select("query", F.col("id").alias("node")), ["query", "node"], "left_anti")
+    return rows.groupBy("query", F.col("node").alias("id")).agg(F.min(F.struct("r", "seed", "relation")).alias("x")).select("query", "id", "x.seed", "x.relation")
+
+
+def expected_ids(defined: DataFrame, stored: DataFrame) -> DataFrame:
+    """The defined queries with the stored expected ids, an empty list where none are stored (EV5); stored: query, expected_ids."""
+    return defined.join(stored.select("query", "expected_ids"), "query", "left").withColumn("expected_ids", F.coalesce("expected_ids", F.array().cast("array<string>")))

@@ -243,6 +243,81 @@ def classify_references(refs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("turned"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("turned"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "relationship").distinct()
 
 
+def build_multigraph(entities: DataFrame, refs: DataFrame, locations: DataFrame, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, name, kind, type) and (src, dst, relationship): entities, their references and their locations (GR16).
+
+    entities: node, name, kind, type (compound or member); friends among the members go, and a member listed under several
+    compounds is one node, which must agree in name and kind. refs: src, dst, tag. locations: node, role (file, decl or body),
+    location. A location that is a decl or a body for anything is no file; decl and body at one place raise. exclude: node.
+    """
+    kept = entities.where("not (type = 'member' and kind <=> 'friend')")
+    if exclude is not None:
+        kept = kept.join(exclude.select("node"), "node", "left_anti")
+    same = F.count_distinct(F.struct("name", "kind")) == 1
+    clash = F.raise_error(F.concat(F.lit("differing entries of "), F.col("node"))).cast("string")
+    one = kept.groupBy("node").agg(F.when(same, F.first("name")).otherwise(clash).alias("name"), F.first("kind").alias("kind"), F.min("type").alias("type"))
+    kinds = one.select("node", "kind")
+    ends = refs.join(kinds.toDF("src", "src_kind"), "src").join(kinds.toDF("dst", "dst_kind"), "dst")
+    at = locations.where("location is not null").join(one.select("node"), "node", "left_semi")
+    roles = F.array_sort(F.collect_set(F.when(F.col("role") != "file", F.col("role"))))
+    both = F.raise_error(F.concat(F.lit("decl and body at "), F.col("location"))).cast("string")
+    places = at.groupBy(F.col("location")).agg(roles.alias("roles")).select(
+        F.col("location").alias("node"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"),
+        F.when(F.size("roles") > 1, both).otherwise(F.coalesce(F.get("roles", F.lit(0)), F.lit("file"))).alias("type"),
+    )
+    held = at.select(F.col("location").alias("src"), F.col("node").alias("dst"), F.lit("represented_by").alias("relationship")).distinct()
+    return one.unionByName(places), classify_references(ends).unionByName(held)
+
+
+def code_bodies(entities: DataFrame, locations: DataFrame, edges: DataFrame, lines: DataFrame, near: int = 10) -> DataFrame:
+    """node, loc, code: the source of each entity with a body; a group has its members' sources, file by file (GR19).
+
+    entities: node, kind. locations: node, role, file, line, end_line. lines: file, line, text. Classes and structs start at
+    their file location where that lies fewer than `near` lines after the body's own. Of several bodies the least (file, line)
+    counts; a missing end is the start. Namespaces, files and directories have no source.
+    """
+    body = locations.where("role = 'body'").groupBy("node").agg(F.min(F.struct("file", "line", F.coalesce(F.when(F.col("end_line") > 0, F.col("end_line")), F.col("line")).alias("e"))).alias("b"))
+    with_body = entities.where("kind not in ('namespace', 'file', 'dir', 'group')").select("node", "kind").join(body, "node").select("node", "kind", "b.*")
+    listed = locations.where("role = 'file'").select("node", F.col("file").alias("f"), F.col("line").alias("at"))
+    shifted = (
+        with_body.where("kind in ('class', 'struct')").join(listed, "node").where((F.col("f") == F.col("file")) & (F.col("at") - F.col("line")).between(1, near - 1))
+        .groupBy("node").agg(F.min("at").alias("at"))
+    )
+    spans = with_body.join(shifted, "node", "left").select("node", "file", F.coalesce("at", "line").alias("s"), "e")
+    text = spans.join(lines.select("file", "line", "text"), "file").where("line between s and e").groupBy("node").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("code")
+    )
+    place = F.concat("file", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
+    single = spans.join(text, "node", "left").select("node", "file", "s", "e", place.alias("loc"), F.coalesce("code", F.lit("")).alias("code"))
+    inside = edges.where("relationship = 'contained_by'").select(F.col("src").alias("node"), F.col("dst").alias("grp")).distinct()
+    groups = entities.where("kind = 'group'").select(F.col("node").alias("grp"))
+    parts = single.join(inside, "node").join(groups, "grp", "left_semi").groupBy("grp", "file").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "node", "code"))), lambda x: x["code"]), "").alias("code")
+    )
+    files = F.array_sort(F.collect_list(F.struct("file", place.alias("loc"), "code")))
+    joined = parts.groupBy(F.col("grp").alias("node")).agg(files.alias("x")).select(
+        "node", F.array_join(F.transform("x", lambda x: x["loc"]), "|").alias("loc"), F.array_join(F.transform("x", lambda x: x["code"]), "").alias("code")
+    )
+    return single.select("node", "loc", "code").unionByName(joined)
+
+
+def seed_neighbours(edges: DataFrame, seeds: DataFrame, known: DataFrame, limit: int = 10) -> DataFrame:
+    """seed, node, relation: callers and callees (at most `limit` each), containers and containees (GR28).
+
+    A node stands once for a seed, under the first of the four relations. seeds: seed; known: node.
+    """
+    s = seeds.select("seed").distinct()
+    rows = edges.where("relationship in ('calls', 'contained_by')").select("src", "dst", "relationship").distinct()
+    near = lambda mine, other, kind, order: rows.where(F.col("relationship") == kind).join(s, F.col(mine) == F.col("seed")).select("seed", F.col(other).alias("node"), F.lit(order).alias("o"))
+    called = near("dst", "src", "calls", 0).unionByName(near("src", "dst", "calls", 1))
+    w = Window.partitionBy("seed", "o").orderBy("node")
+    cut = called.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
+    held = near("src", "dst", "contained_by", 2).unionByName(near("dst", "src", "contained_by", 3))
+    every = cut.unionByName(held).join(known.select("node"), "node", "left_semi")
+    names = F.array(*[F.lit(x) for x in ("caller", "callee", "container", "containee")])
+    return every.groupBy("seed", "node").agg(F.min("o").alias("o")).select("seed", "node", F.get(names, F.col("o")).alias("relation"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component of the undirected graph, named by its least node: least-label spreading with pointer jumps (GR26)."""
     pairs = edges.select("src", "dst").where("src <> dst")

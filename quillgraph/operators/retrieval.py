@@ -193,8 +193,8 @@ def best_usages(scored: DataFrame, callee: str, keys: list[str], limit: int, evi
     return ranked.join(callees, callee).where(F.col("callee_score") >= USAGE_FLOOR)
 
 
-def resolve(entities: DataFrame, query: str, postings: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """The first stage that finds anything: id, signature, name, prefix, keyword."""
+def resolve(entities: DataFrame, query: str, postings: DataFrame | None = None, limit: int = 20, vector: str | None = None, embedded: list[float] | None = None) -> DataFrame:
+    """The first stage that finds anything: id, signature, name, prefix, keyword, and with a vector column and the embedded query semantic."""
     base = entities.select("entity_id", "name", "signature", "fan_in")
     stages = [("name", F.col("name") == query), ("signature", F.col("signature") == query)]
     found = [base.where(cond).select("entity_id", "name", F.lit(n).alias("match_type"), F.lit(k).alias("stage"), F.lit(0.0).alias("o1"), F.lit(0).cast("long").alias("o2")) for k, (n, cond) in ((2, stages[0]), (1, stages[1]))]
@@ -208,9 +208,12 @@ def resolve(entities: DataFrame, query: str, postings: DataFrame | None = None,
     if postings is not None:
         hits = keyword_channel(postings, "entity_id", re.findall("[a-z0-9_]+", query.lower()) or ["-"], limit)
         found.append(hits.join(base, "entity_id").select("entity_id", "name", F.lit("keyword").alias("match_type"), F.lit(4).alias("stage"), (-F.col("score")).alias("o1"), F.lit(0).cast("long").alias("o2")))
+    if vector and embedded:
+        near = semantic_channel(entities, "entity_id", vector, embedded, limit)
+        found.append(near.join(base, "entity_id").select("entity_id", "name", F.lit("semantic").alias("match_type"), F.lit(5).alias("stage"), (-F.col("score")).alias("o1"), F.lit(0).cast("long").alias("o2")))
     every = reduce(DataFrame.unionByName, found)
     first = every.agg(F.min("stage").alias("stage"))
     rows = every.join(F.broadcast(first), "stage", "left_semi").orderBy("o1", "o2", "entity_id").limit(limit)
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("stage"))).select(
-        "entity_id", "name", "match_type", F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("status")
+        "entity_id", "name", "match_type", F.when((F.col("n") == 1) & ~F.col("match_type").isin("keyword", "semantic"), "exact").otherwise("ambiguous").alias("status")
     )

@@ -314,10 +314,11 @@ def j6(spark, sf):
     return etl.assign_by_name(part.select("p_partkey", F.col("p_name").alias("name")), names).select("p_partkey", "capability")
 
 
-@query("j9_full_union", """SELECT coalesce(c_custkey, k) AS key, CASE WHEN c_custkey IS NULL THEN 'new' WHEN k IS NULL THEN 'dropped' ELSE 'preserved' END AS change FROM customer FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = k""")
+@query("j9_full_union", """SELECT coalesce(c_custkey, k) AS key, CASE WHEN c_custkey IS NULL THEN 'new' WHEN k IS NULL THEN 'dropped' ELSE 'preserved' END AS change FROM customer FULL JOIN (SELECT p_partkey + 500 AS k FROM part) ON c_custkey = k""")
 def j9(spark, sf):
     old = table(spark, sf, "customer").select(F.lit("c").alias("compound"), _key("c_custkey").alias("signature"), _key("c_custkey").alias("name"))
-    new = table(spark, sf, "orders").where("o_custkey % 2 = 0").select(F.lit("c").alias("compound"), _key("o_custkey").alias("signature"), F.lit("-").alias("name"), F.lit(True).alias("has_body"), _key("o_custkey").alias("entity_id"))
+    moved = (F.col("p_partkey") + 500).cast("string")
+    new = table(spark, sf, "part").select(F.lit("c").alias("compound"), moved.alias("signature"), F.lit("-").alias("name"), F.lit(True).alias("has_body"), moved.alias("entity_id"))
     return etl.signature_map(old, new).select(F.col("signature").cast("long").alias("key"), "change")
 
 
@@ -400,13 +401,13 @@ def ag10(spark, sf):
     return capability.compare(calls(spark, sf), n.select("node", "capability"), wanted)
 
 
-@query("ag9_exercise_counts", f"""WITH RECURSIVE {CALLS_SQL}, {NODES_SQL}, walk AS (SELECT 's:' || s_suppkey AS seed, 's:' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 1
-  UNION SELECT seed, dst, depth + 1 FROM walk JOIN calls ON src = node WHERE depth < 2), least AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY ALL)
+@query("ag9_exercise_counts", f"""WITH RECURSIVE {CALLS_SQL}, {NODES_SQL}, walk AS (SELECT 's:' || s_suppkey AS seed, 's:' || s_suppkey AS node, 0 AS depth FROM supplier
+  UNION SELECT seed, dst, depth + 1 FROM walk JOIN calls ON src = node WHERE depth < 5), least AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY ALL)
   SELECT seed, capability, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive FROM least JOIN nodes USING (node) WHERE depth > 0 AND capability IS NOT NULL GROUP BY ALL""")
 def ag9(spark, sf):
-    seeds = table(spark, sf, "supplier").where("s_nationkey = 1").select(F.concat(F.lit("s:"), _key("s_suppkey")).alias("node"))
+    seeds = table(spark, sf, "supplier").select(F.concat(F.lit("s:"), _key("s_suppkey")).alias("node"))
     e = calls(spark, sf).withColumn("relationship", F.lit("calls"))
-    return capability.exercise_counts(e, seeds, _members(spark, sf), 2)
+    return capability.exercise_counts(e, seeds, _members(spark, sf))
 
 
 @query("ag7_entry_capabilities", f"""WITH {CALLS_SQL}, {NODES_SQL} SELECT src AS seed, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities FROM calls JOIN nodes ON dst = node WHERE src LIKE 'c:%' AND capability IS NOT NULL GROUP BY src""")
@@ -415,12 +416,12 @@ def ag7(spark, sf):
     return capability.entry_point_capabilities(reached, _members(spark, sf))[0]
 
 
-@query("gr23_enablement", """WITH w AS (SELECT n_name AS capability, (n_regionkey)::INT AS wave FROM nation WHERE n_nationkey < 20), need AS (SELECT c_custkey AS entry, n_name AS capability FROM customer JOIN nation ON c_nationkey = n_nationkey
+@query("gr23_enablement", """WITH w AS (SELECT n_name AS capability, (n_regionkey)::INT AS wave FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)), need AS (SELECT c_custkey AS entry, n_name AS capability FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT o_custkey, 'uncategorized' FROM orders)
   SELECT entry, CASE WHEN count(*) FILTER (WHERE capability <> 'uncategorized' AND wave IS NULL) > 0 THEN (SELECT max(wave) + 1 FROM w) ELSE coalesce(max(wave), (SELECT min(wave) FROM w)) END AS wave FROM need LEFT JOIN w USING (capability) GROUP BY entry""")
 def gr23(spark, sf):
     nation = table(spark, sf, "nation")
-    waves = nation.where("n_nationkey < 20").select(F.col("n_name").alias("capability"), F.col("n_regionkey").alias("wave"))
+    waves = nation.join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select(F.col("n_name").alias("capability"), F.col("n_regionkey").alias("wave"))
     need = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entry"), F.col("n_name").alias("capability"))
     return capability.enablement(need.unionByName(table(spark, sf, "orders").select(F.col("o_custkey").alias("entry"), F.lit("uncategorized").alias("capability"))), waves)
 
@@ -573,15 +574,15 @@ def ag20b(spark, sf):
 
 
 def _ranked(spark, sf):
-    """The rows of `embeddings` ranked for ten query vectors, as a stated set against all rows."""
-    rows = table(spark, sf, "embeddings")
-    queries = rows.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("category"))
-    scored = rows.join(F.broadcast(queries)).where("vec_id <> query").select("query", F.col("vec_id").alias("id"), "label", "category", vectors.cosine("embedding", "q").alias("score"))
+    """All rows of `embeddings` ranked for each query of the stated set: the vectors whose id is divisible by 50."""
+    rows = table(spark, sf, "embeddings").where("embedding is not null")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("category"))
+    scored = evaluate.score_blocks(rows.select(F.col("vec_id").alias("id"), "label", "embedding"), queries).where("id <> query")
     return evaluate.rank_results(scored)
 
 
 _RANKED = """ranked AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, q.label AS category, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank
-  FROM embeddings e JOIN embeddings q ON q.vec_id < 10 AND e.vec_id <> q.vec_id),
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
   per AS (SELECT query, category, min(rank) FILTER (WHERE label = category) AS first_rank, coalesce(1 / (min(rank) FILTER (WHERE label = category))::DOUBLE, 0) AS rr, count(*) FILTER (WHERE label = category AND rank <= 10) / (count(*) FILTER (WHERE label = category))::DOUBLE AS r10,
   count(*) FILTER (WHERE label = category AND rank <= 20) / (count(*) FILTER (WHERE label = category))::DOUBLE AS r20 FROM ranked GROUP BY ALL)"""
 
@@ -637,7 +638,7 @@ def fn22(spark, sf):
     from quillgraph.sources.artifacts import preceding_comments
 
     lines = table(spark, sf, "documents").where("text is not null").select(_key("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "t")).select("file", (F.col("i") + 1).alias("line"), F.when(F.col("i") % 2 == 0, F.concat(F.lit("// "), "t")).otherwise(F.col("t")).alias("text"))
-    return preceding_comments(lines, lines.where("line % 2 = 0").select("file", "line"))
+    return preceding_comments(lines, lines.select("file", "line"))
 
 
 @query("cl1_communities")
@@ -755,12 +756,12 @@ def nb7(spark, sf):
     return cluster.mean_cohesion(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").select("grp", "n", F.round("mean", 4).alias("mean"))
 
 
-@query("nb4_depth_distribution", f"""WITH RECURSIVE {CALLS_SQL}, walk AS (SELECT 's:' || s_suppkey AS seed, 's:' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 1
-  UNION SELECT seed, dst, depth + 1 FROM walk JOIN calls ON src = node WHERE depth < 3), least AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY ALL)
+@query("nb4_depth_distribution", f"""WITH RECURSIVE {CALLS_SQL}, walk AS (SELECT 's:' || s_suppkey AS seed, 's:' || s_suppkey AS node, 0 AS depth FROM supplier
+  UNION SELECT seed, dst, depth + 1 FROM walk JOIN calls ON src = node WHERE depth < 5), least AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY ALL)
   SELECT depth, count(*) AS pairs, count(DISTINCT node) AS nodes FROM least WHERE depth > 0 GROUP BY depth""")
 def nb4(spark, sf):
-    seeds = table(spark, sf, "supplier").where("s_nationkey = 1").select(F.concat(F.lit("s:"), _key("s_suppkey")).alias("node"))
-    reached = graph.traverse(calls(spark, sf), seeds, 3).where("depth > 0")
+    seeds = table(spark, sf, "supplier").select(F.concat(F.lit("s:"), _key("s_suppkey")).alias("node"))
+    reached = graph.traverse(calls(spark, sf), seeds, 5).where("depth > 0")
     return reached.groupBy("depth").agg(F.count("*").alias("pairs"), F.countDistinct("node").alias("nodes"))
 
 

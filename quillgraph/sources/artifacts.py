@@ -291,13 +291,27 @@ def slice_source(entities: DataFrame, lines: DataFrame, key: str = "entity_id",
 
 
 def preceding_comments(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """file, line, comment: the comment lines straight above a line, blanks skipped, up to the first code line (FN22)."""
-    code = ~F.trim("text").rlike(r"^(//|/\*|\*|\*/)") & (F.trim("text") != "") & ~F.rtrim("text").endswith("*/")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    marked = lines.withColumn("last_code", F.coalesce(F.max(F.when(code, F.col("line"))).over(w), F.lit(0)))
-    at = wanted.join(marked.select("file", "line", "last_code"), ["file", "line"])
-    text = lines.select("file", F.col("line").alias("l"), "text").where(F.trim("text") != "")
-    hit = at.join(text, "file", "left").where((F.col("l") > F.col("last_code")) & (F.col("l") < F.col("line")))
+    """file, line, comment: the comment lines straight above a line, blanks skipped, up to the first code line (FN22).
+
+    A comment line starts with //, or with /*, or lies in a block that no code stands before. Lines that are wanted bound each
+    other: a comment starts no higher than the wanted line before. Lines without a comment above have no row. Windows over a
+    file number the stretches between code lines, so a wanted line meets its own stretch and not the whole file.
+    """
+    t = F.trim("text")
+    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    opens, closes, starts = t.rlike(r"/\*(?!.*\*/)"), F.contains(t, F.lit("*/")), t.startswith("/*")
+    # 0: closed, 1: in a comment block, 2: in a block that started after code
+    event = F.when(t.startswith("//") & ~closes, F.lit(None)).when(opens, F.when(starts, 1).otherwise(2)).when(closes, 0)
+    marked = lines.select("file", "line", "text", F.coalesce(F.last(event, ignorenulls=True).over(above), F.lit(0)).alias("block"))
+    whole = ~closes | t.endswith("*/")
+    comment = F.when(F.col("block") == 1, whole).when(F.col("block") == 2, F.lit(False)).otherwise(t.startswith("//") | (starts & whole))
+    code = (t != "") & ~comment
+    placed = marked.withColumn("code", code).withColumn("stretch", F.coalesce(F.sum(F.col("code").cast("int")).over(above), F.lit(0)))
+    order = Window.partitionBy("file").orderBy("line")
+    at = wanted.select("file", "line").distinct().withColumn("floor", F.coalesce(F.lag("line").over(order), F.lit(0)))
+    at = at.join(placed.select("file", "line", "stretch"), ["file", "line"])
+    text = placed.where(~F.col("code") & (t != "")).select("file", "stretch", F.col("line").alias("l"), "text")
+    hit = at.join(text, ["file", "stretch"]).where((F.col("l") < F.col("line")) & (F.col("l") >= F.col("floor")))
     return hit.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "text"))), lambda x: x["text"]), "\n").alias("comment"))
 
 
