@@ -24,7 +24,10 @@ def fold_of(id_col: str, folds: int = 5):
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark's cleaner delete the shuffle files and broadcasts of plans that nothing refers to any more.
+
+    The collection also gives back the driver's heap that plans of many steps leave behind.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import forget_shuffles
 from quillgraph.session import bound_batches, materialize
 
 #: Words are 0-9, a-z (after lower-casing A-Z) and everything outside ASCII; other ASCII separates.
@@ -179,6 +180,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     width = options.get("width", 10)
     spark = docs.sparkSession
     bound_batches(spark)
+    forget_shuffles(spark)
     names = docs.columns
     out = docs
     for block in _blocks(items, options.get("item_id", "item_id"), options.get("item_text", "text"), width, options.get("block_bytes", 8 << 20)):

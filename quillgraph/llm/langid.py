@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import fold_of
+from quillgraph.llm.common import fold_of, forget_shuffles
 from quillgraph.session import bound_batches
 
 _letters: list[np.ndarray] = []
@@ -236,6 +236,7 @@ def identify(
 
 def keep_identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
     """Documents in a learned language; rejected are `und`, texts without evidence of one and scores under min_score."""
+    forget_shuffles(docs.sparkSession)
     n = len(docs.columns)
     at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang")}
     plain = docs.toDF(*[f"c{i}" for i in range(n)])

@@ -198,6 +198,7 @@ def _cleaned(docs: DataFrame, text_col: str, options: dict) -> DataFrame:
     at = docs.columns.index(text_col)
     text = F.col(f"c{at}")
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
+    forget_shuffles(docs.sparkSession)
     gone = recurring_templates(plain.where(text.isNotNull()).select(_hash(text).alias("h"), text.alias("text")), **options)
     per_text = gone.groupBy("h").agg(F.collect_set("tpl").alias("gone"))
     if gone.limit(BROADCAST_NUMBERS // 2 + 1).count() <= BROADCAST_NUMBERS // 2:

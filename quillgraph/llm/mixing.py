@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialize
+from quillgraph.llm.common import forget_shuffles
+from quillgraph.session import materialize, release
 
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,11 +48,15 @@ def rake(cells: DataFrame, rounds: int = 8, temper: float = 0.7) -> DataFrame:
         norm = shares.agg(F.sum(f"t_{m}")).first()[0] or 1.0
         out = out.join(shares.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm)), m)
     out = materialize(out, "cells", shrink=16)
-    for _ in range(rounds):
+    for k in range(rounds):
         for m in MARGINS:
             sums = out.groupBy(m).agg(F.sum("w").alias("s"))
             # A small table each time: the next step reads it twice, so the plan must not grow.
-            out = materialize(out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s"), "cells", shrink=16)
+            step = materialize(out.join(sums, m).withColumn("w", F.col("w") * F.col(f"t_{m}") / F.col("s")).drop("s"), "cells", shrink=16)
+            release(out)
+            out = step
+        if k % 4 == 0:
+            forget_shuffles(cells.sparkSession)
     return out.select(*MARGINS, "tokens", "w")
 
 

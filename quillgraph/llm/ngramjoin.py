@@ -536,6 +536,7 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     gone = materialize(found.where("id <> component").select(F.col("id").alias(at)).distinct(), "gone", shrink=16)
     again = materialize(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(at)), "again", shrink=16)
     release(found)
+    forget_shuffles(docs.sparkSession)
     kept = _with_ids(plain, at, gone, "left_anti")
     if again.limit(1).count():
         once = _with_ids(kept, at, again, "left_semi").dropDuplicates([at, text])
