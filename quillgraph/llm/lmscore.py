@@ -19,18 +19,17 @@ are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import grulm
-from quillgraph.llm.common import fold_of, forget_shuffles, words
+from quillgraph.llm.common import fold_of, forget_shuffles
 from quillgraph.session import bound_batches, materialize
 
 END = b""
@@ -38,55 +37,85 @@ LN10 = math.log(10)
 SHAPE = grulm.Shape(head=4096, per_class=64, tail_classes=32, buckets=1024, hidden=16)
 
 
-def _count(n_classes: int, most: int = 400_000):
-    """(word, class, n) of the tasks' texts; equal words are summed as long as they fit."""
+#: Bytes of text that a worker takes at a time; a longer text is taken whole.
+POOL = 16 << 20
 
-    def flush(seen: Counter) -> pa.RecordBatch:
-        w = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(w, pa.binary()), pa.array(grulm.tail_classes(w, n_classes), pa.int32()), pa.array(list(seen.values()), pa.int64())],
-            names=["word", "k", "n"],
-        )
+
+def _pools(batches: Iterator[pa.RecordBatch], most: int = POOL) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has; nothing is made a Python object."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, lengths = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # space at either end leaves an empty word
+    if not some.all():
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        flat, lengths = flat.filter(pa.array(some)), np.bincount(row[some], minlength=len(lengths))
+    return flat, lengths
+
+
+def _classes(words: pa.Array, n: int) -> np.ndarray:
+    """grulm.tail_classes of many words: once for each distinct ending."""
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    return np.array(grulm.tail_classes(ends.dictionary.to_pylist(), n), np.int32)[ends.indices.to_numpy()]
+
+
+def _count(n_classes: int):
+    """(word, class, n) of the tasks' texts, summed in each pool; an end for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for x in batch.column(0).cast(pa.binary()):
-                seen.update(words(x.as_py()))
-                if len(seen) >= most:
-                    yield flush(seen)
-                    seen.clear()
-            seen[END] += batch.num_rows
-        if seen:
-            yield flush(seen)
+        for pool in _pools(batches):
+            seen = pc.value_counts(_words(pool.column(0))[0])
+            word = pa.concat_arrays([seen.field("values"), pa.array([END], pa.binary())])
+            n = pa.concat_arrays([seen.field("counts"), pa.array([pool.num_rows], pa.int64())])
+            yield pa.RecordBatch.from_arrays([word, pa.array(_classes(word, n_classes)), n], names=["word", "k", "n"])
 
     return run
 
 
 class Lexicon:
-    """The dictionary words with their counts, and what a token needs for the network; built once per worker."""
+    """The dictionary words with their counts, and what a token needs for the network; built once per worker.
+
+    A token's key is its rank for head words, else head + bucket * tail_classes + class; tables by key give its input, class and word.
+    """
 
     _built: dict[str, "Lexicon"] = {}
 
     def __init__(self, table: dict):
         self.shape: grulm.Shape = table["shape"]
-        listed = table["words"]
-        self.index = {w: i for i, w in enumerate(listed)}
-        s, n_head = self.shape, table["head"]
-        self.n_head = n_head
-        self.head = dict(zip(listed[:n_head], range(n_head), strict=True))
-        tail = listed[n_head:]
+        s = self.shape
+        self.n_head = table["head"]
+        self.listed = pa.array(table["words"], pa.binary())
+        self.known = table["counts"] > 0
         self.log_count = np.log10(table["counts"] + 0.5)
-        cls = np.concatenate(
-            (np.arange(n_head) // s.per_class, s.head_classes + np.array(grulm.tail_classes(tail, s.tail_classes), np.int64))
-        )
-        word = np.concatenate((np.arange(n_head) % s.per_class, np.zeros(len(tail), np.int64)))
-        inp = np.concatenate((np.arange(n_head), s.head + np.array(grulm.input_buckets(tail, s.buckets), np.int64)))
-        #: inp, cls, word of each dictionary word, in one row; the last row is also what far words read first.
-        self.packed = np.stack((inp, cls, word), axis=1).astype(np.int16)
-        self.tail_log = np.log10(table["tail_tokens"] + 0.5 * (table["tail_words"] + 1))
+        self.keys = np.concatenate((np.arange(self.n_head), self._tail_keys(self.listed[self.n_head :]))).astype(np.int32)
+        tail = np.arange(s.buckets * s.tail_classes)
+        head = np.arange(s.head)
+        self.inp = np.concatenate((head, s.head + tail // s.tail_classes)).astype(np.int16)
+        self.cls = np.concatenate((head // s.per_class, s.head_classes + tail % s.tail_classes)).astype(np.int16)
+        self.word = np.concatenate((head % s.per_class, np.zeros(len(tail)))).astype(np.int16)
+        #: What a tail word's class takes from its log probability, by key; 0 for head words.
+        tail_log = np.log10(table["tail_tokens"] + 0.5 * (table["tail_words"] + 1))
+        self.class_log = np.concatenate((np.zeros(s.head), tail_log[tail % s.tail_classes]))
         self.all_log = math.log10(table["tokens"] + 0.5 * (table["distinct"] + 1))
-        self.end = self.index.get(END, 0)
+        self.end = table["words"].index(END)
+
+    def _tail_keys(self, words: pa.Array) -> np.ndarray:
+        s = self.shape
+        return s.head + np.array(grulm.input_buckets(words.to_pylist(), s.buckets), np.int64) * s.tail_classes + _classes(words, s.tail_classes)
 
     @classmethod
     def of(cls, shared) -> "Lexicon":
@@ -96,44 +125,40 @@ class Lexicon:
             cls._built[key] = cls(shared.value)
         return cls._built[key]
 
-    def tokens(self, text: bytes | None):
-        """(dictionary index or -1, far words, (inp, cls, word)) of a text's words and its end."""
-        w = words(text)
-        w.append(END)
-        s = self.shape
-        # The few head words, most of all tokens, are looked up first: their table stays in a core's cache.
-        ids = np.fromiter(map(self.head.get, w, repeat(-1)), np.int32, len(w))
-        rest = np.flatnonzero(ids < 0).tolist()
-        ids[rest] = np.fromiter(map(self.index.get, [w[i] for i in rest], repeat(-1)), np.int32, len(rest))
-        near = self.packed[ids]
-        far_at = np.flatnonzero(ids < 0).tolist()
-        far = [w[i] for i in far_at]
-        if far:
-            near[far_at, 0] = s.head
-            near[far_at, 0] += np.array(grulm.input_buckets(far, s.buckets), np.int16)
-            near[far_at, 1] = s.head_classes
-            near[far_at, 1] += np.array(grulm.tail_classes(far, s.tail_classes), np.int16)
-            near[far_at, 2] = 0
-        inp = np.empty(len(w), np.int16)
-        inp[0] = self.packed[self.end, 0]
-        inp[1:] = near[:-1, 0]
-        return ids, far, (inp, near[:, 1].copy(), near[:, 2].copy())
-
-
-def _train(lexicon, params, slices: int, pool: int = 2_500_000):
+    def tokens(self, texts: pa.Array):
+        """Of the words of all texts with their ends: tokens of each text, dictionary index or -1, key; and (word, row) of far words."""
+        flat, lengths = _words(texts)
+        found = pc.index_in(flat, value_set=self.listed).fill_null(-1).to_numpy()
+        is_far = found < 0
+        far = flat.filter(pa.array(is_far)).dictionary_encode()
+        far_row = np.repeat(np.arange(len(lengths)), lengths)[is_far]
+        found_keys = self.keys[found]
+        if len(far):
+            found_keys[is_far] = self._tail_keys(far.dictionary)[far.indices.to_numpy()]
+        sizes = lengths + 1
+        ends = np.cumsum(sizes) - 1
+        inside = np.ones(int(sizes.sum()), bool)
+        inside[ends] = False
+        ids, keys = np.full(len(inside), self.end, np.int32), np.full(len(inside), self.keys[self.end], np.int32)
+        ids[inside], keys[inside] = found, found_keys
+        return sizes, ids, keys, far, far_row
+
+    def sequences(self, sizes: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(inp, cls, word) of each text: a text starts from an end, which is what stands before it here."""
+        inp = self.inp[np.concatenate((self.keys[self.end : self.end + 1], keys[:-1]))]
+        cls, word = self.cls[keys], self.word[keys]
+        cuts = np.cumsum(sizes).tolist()
+        return [(inp[i:j], cls[i:j], word[i:j]) for i, j in zip([0, *cuts], cuts)]  # noqa: B905
+
+
+def _train(lexicon, params, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.of(lexicon)
-        p, tokens, seqs, size = params.value, 0, [], 0
-        for batch in batches:
-            for x in batch.column(0).cast(pa.binary()):
-                seqs.append(lex.tokens(x.as_py())[2])
-                size += len(seqs[-1][0])
-                if size >= pool:
-                    p = grulm.train(p, lex.shape, seqs)
-                    tokens, seqs, size = tokens + size, [], 0
-        if seqs:
-            p = grulm.train(p, lex.shape, seqs)
-            tokens += size
+        p, tokens = params.value, 0
+        for pool in _pools(batches):
+            sizes, _, keys, _, _ = lex.tokens(pool.column(0))
+            p = grulm.train(p, lex.shape, lex.sequences(sizes, keys))
+            tokens += len(keys)
         if tokens:
             flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64) * tokens
             cut = np.array_split(flat, slices)
@@ -176,41 +201,35 @@ def _mix(texts: DataFrame, lexicon, params: grulm.Params, slices: int = 32, toge
     return out
 
 
-def _score(lexicon, params, pool: int = 2_500_000):
-    """(row, id, held, n_tokens, known, base, score, far words with their numbers): what the dictionary can say."""
+def _counted(far: pa.DictionaryArray, row: np.ndarray, rows: int) -> pa.ListArray:
+    """The distinct far words of each row with their numbers."""
+    width = max(1, len(far.dictionary))
+    pair, n = np.unique(row * width + far.indices.to_numpy(), return_counts=True)
+    entries = pa.StructArray.from_arrays([far.dictionary.take(pa.array(pair % width)), pa.array(n.astype(np.int32))], names=["word", "n"])
+    offsets = np.searchsorted(pair, np.arange(rows + 1) * width)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries)
 
-    def flush(lex: Lexicon, rows: list, seqs: list) -> Iterator[pa.RecordBatch]:
-        network = grulm.score(params.value, lex.shape, seqs) / LN10
-        fars = []
-        for row, s in zip(rows, network, strict=True):
-            row[6] += float(s)
-            fars.append([{"word": w, "n": n} for w, n in Counter(row.pop()).items()])
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array(fars, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
-            names=["row", "id", "held", "n_tokens", "known", "base", "score", "far"],
-        )
+
+def _score(lexicon, params):
+    """(row, id, held, n_tokens, known, base, score, far words with their numbers): what the dictionary can say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.of(lexicon)
-        rows, seqs, size = [], [], 0
-        for batch in batches:
-            for row, i, held, x in zip(*[batch.column(c).to_pylist() for c in range(3)], batch.column(3).cast(pa.binary()), strict=True):
-                ids, far, seq = lex.tokens(x.as_py())
-                near = ids[ids >= 0]
-                logs = lex.log_count[near]
-                in_tail = lex.shape.head_classes
-                # A tail word's part inside its class: log (c + 0.5) - log (T + 0.5 (V + 1)).
-                tails = float(logs[near >= lex.n_head].sum()) - float(lex.tail_log[seq[1][seq[1] >= in_tail] - in_tail].sum())
-                rows.append([row, i, held, len(ids), len(near), float(logs.sum()) - len(ids) * lex.all_log, tails, far])
-                seqs.append(seq)
-                size += len(ids)
-                if size >= pool:
-                    yield from flush(lex, rows, seqs)
-                    rows, seqs, size = [], [], 0
-        if rows:
-            yield from flush(lex, rows, seqs)
+        for pool in _pools(batches):
+            sizes, ids, keys, far, far_row = lex.tokens(pool.column(3))
+            starts = np.cumsum(sizes) - sizes
+            sums = lambda x: np.add.reduceat(x, starts)
+            near = ids >= 0
+            logs = np.where(near, lex.log_count[ids], 0.0)
+            # A tail word's part inside its class: log (c + 0.5) - log (T + 0.5 (V + 1)).
+            tails = sums(np.where(ids >= lex.n_head, logs, 0.0) - lex.class_log[keys])
+            known = sums((near & lex.known[ids]).astype(np.int64))
+            base = sums(logs) - sizes * lex.all_log
+            network = grulm.score(params.value, lex.shape, lex.sequences(sizes, keys)) / LN10
+            yield pa.RecordBatch.from_arrays(
+                [*pool.columns[:3], pa.array(sizes), pa.array(known), pa.array(base), pa.array(tails + network), _counted(far, far_row, len(sizes))],
+                names=["row", "id", "held", "n_tokens", "known", "base", "score", "far"],
+            )
 
     return run
 
@@ -260,13 +279,16 @@ def score_documents(
     floor = 1
     while counts.where(F.col("n") >= floor).count() > dictionary:
         floor *= 2
-    listed = counts.where(F.col("n") >= floor).select("word", "n").toPandas()
+    # The end is always listed.
+    listed = counts.where((F.col("n") >= floor) | (F.col("word") == F.lit(END))).select("word", "n").toPandas()
     listed["word"] = listed["word"].map(bytes)
     listed = listed.sort_values(["n", "word"], ascending=[False, True])
     n_head = min(shape.head, len(listed))
     names, numbers = listed["word"].tolist(), listed["n"].to_numpy(np.float64)
     tail_tokens, tail_words = _tail_sums(counts, shape.tail_classes, list(zip(names[:n_head], numbers[:n_head], strict=True)))
-    lexicon = spark.sparkContext.broadcast(  # at most `dictionary` words
+    if not names:  # nothing to learn from: the end alone, unseen
+        names, numbers, n_head = [END], np.zeros(1), 1
+    lexicon = spark.sparkContext.broadcast(  # at most `dictionary` words and the end
         {
             "key": getattr(counts, "_quill_path", ""), "shape": shape, "words": names, "counts": numbers, "head": n_head,
             "tail_tokens": tail_tokens, "tail_words": tail_words, "tokens": total, "distinct": distinct,
@@ -286,7 +308,7 @@ def score_documents(
     far = (
         local.select("row", F.explode("far").alias("x"))
         .select("row", "x.word", F.col("x.n").alias("times"))
-        .join(counts.where(F.col("n") < floor).select("word", "n"), "word", "left")
+        .join(counts.where((F.col("n") < floor) & (F.col("word") != F.lit(END))).select("word", "n"), "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"),

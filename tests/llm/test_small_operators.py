@@ -394,3 +394,34 @@ def test_lm_sums_are_a_tree_of_bounded_groups(spark):
     finally:
         lmscore._mix = lmscore_mix
     assert seen == [True, True]
+
+
+def test_lm_words_are_those_of_a_plain_split():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    letters = list(" \t\n\x0b\x0c\rAZaz\x1c\x1d\x1e\x1f\x85\xa0　é\x00")
+    texts = ["".join(r.choice(letters, int(r.integers(30)))) for _ in range(2000)] + [None, "", " ", " a ", "a"]
+    flat, lengths = lmscore._words(pa.array(texts, pa.string()))
+    want = [(t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split() for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert flat.to_pylist() == [x for w in want for x in w]
+
+
+def test_lm_without_training_documents(spark):
+    docs = [(i, f"word{i} again again") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = lmscore.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    for x in got:
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (True, 4, 0, 0)
+        assert x.base_score == pytest.approx(0.0) and x.score < 0
+
+
+def test_lm_keeps_the_end_whatever_the_dictionary(spark):
+    docs = [(i, "one two three " * 50) for i in range(60)]
+    for x in lmscore.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), dictionary=1).collect():
+        n = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs)
+        total = 151 * n
+        want = 150 * math.log10((50 * n + 0.5) / (total + 2.5)) + math.log10((n + 0.5) / (total + 2.5))
+        assert (x.n_tokens, x.n_known) == (151, 151)
+        assert x.base_score == pytest.approx(want, rel=1e-9)
