@@ -141,6 +141,8 @@ class Lexicon:
         inside[ends] = False
         ids, keys = np.full(len(inside), self.end, np.int32), np.full(len(inside), self.keys[self.end], np.int32)
         ids[inside], keys[inside] = found, found_keys
+        del flat, found, found_keys, inside
+        pa.default_memory_pool().release_unused()
         return sizes, ids, keys, far, far_row
 
     def sequences(self, sizes: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,7 +158,7 @@ def _train(lexicon, params, slices: int):
         lex = Lexicon.of(lexicon)
         p, tokens = params.value, 0
         for pool in _pools(batches):
-            sizes, _, keys, _, _ = lex.tokens(pool.column(0))
+            sizes, _, keys = lex.tokens(pool.column(0))[:3]
             p = grulm.train(p, lex.shape, lex.sequences(sizes, keys))
             tokens += len(keys)
         if tokens:
@@ -225,9 +227,11 @@ def _score(lexicon, params):
             tails = sums(np.where(ids >= lex.n_head, logs, 0.0) - lex.class_log[keys])
             known = sums((near & lex.known[ids]).astype(np.int64))
             base = sums(logs) - sizes * lex.all_log
-            network = grulm.score(params.value, lex.shape, lex.sequences(sizes, keys)) / LN10
+            fars, seqs = _counted(far, far_row, len(sizes)), lex.sequences(sizes, keys)
+            del ids, keys, near, logs, far, far_row
+            network = grulm.score(params.value, lex.shape, seqs) / LN10
             yield pa.RecordBatch.from_arrays(
-                [*pool.columns[:3], pa.array(sizes), pa.array(known), pa.array(base), pa.array(tails + network), _counted(far, far_row, len(sizes))],
+                [*pool.columns[:3], pa.array(sizes), pa.array(known), pa.array(base), pa.array(tails + network), fars],
                 names=["row", "id", "held", "n_tokens", "known", "base", "score", "far"],
             )
 
