@@ -320,7 +320,7 @@ def train(
     h = np.zeros((len(stream.sizes), shape.hidden), p["U"].dtype)
     for window in stream.windows(steps, 8 * steps):
         _, grads, (rows, g), h = window_grads(p, shape, stream, window, h)
-        scale = F32(1 / len(window[0]))
+        scale = F32(1 / max(len(window[0]), steps * len(stream.sizes)))  # a token weighs the same in a window of few lanes
         for x, d in grads.items():
             d *= scale
             mem[x] += d * d
