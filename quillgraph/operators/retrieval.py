@@ -33,9 +33,13 @@ def top(rows: DataFrame, key: str, limit: int = CHANNEL_LIMIT, score: str = "sco
 
 
 def keyword_channel(postings: DataFrame, key: str, terms: list[str], limit: int = CHANNEL_LIMIT) -> DataFrame:
-    """Rows with every term; the score adds the terms' weights."""
+    """Rows with every term; the score adds the terms' weights.
+
+    The sum is a decimal's, so equal weights give equal scores in whatever order they come and ties stay ties.
+    """
     terms = sorted(set(terms))
-    hit = postings.where(F.col("lexeme").isin(*terms)).groupBy(key).agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
+    total = F.sum(F.col("weight").cast("decimal(28,18)")).cast("double")
+    hit = postings.where(F.col("lexeme").isin(*terms)).groupBy(key).agg(total.alias("score"), F.count("*").alias("n"))
     return top(hit.where(F.col("n") == len(terms)).select(key, "score"), key, limit)
 
 

@@ -18,6 +18,15 @@ def values(df, *columns):
     return {tuple(r) if len(columns) != 1 else r[0] for r in df.select(*columns).collect()}
 
 
+# retrieval
+
+
+def test_keyword_scores_tie_in_any_order_of_their_weights(spark):
+    weights = {0: (1.0, 0.4, 0.4), 1: (0.4, 0.4, 1.0)}  # as doubles 1.7999999999999998 and 1.8
+    rows = spark.createDataFrame([(k, f"t{i}", w) for k, ws in weights.items() for i, w in enumerate(ws)], "doc_id long, lexeme string, weight double").coalesce(1)
+    assert [tuple(r) for r in retrieval.keyword_channel(rows, "doc_id", ["t0", "t1", "t2"], 1).collect()] == [(0, 1.8)]
+
+
 # scalars
 
 
