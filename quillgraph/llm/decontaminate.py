@@ -34,6 +34,9 @@ NORMAL = bytes(
 )
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 STATE = "id long, text string, spans array<struct<start:int,end:int>>, items array<string>, hit array<int>, n_words long"
+#: What the last scan gives: the texts don't come back from Python, as nothing reads them there.
+FOUND = "id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -64,7 +67,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, block_byte
         yield block
 
 
-def _scan(patterns, key: str, width: int):
+def _scan(patterns, key: str, last: bool = False):
     def automaton() -> ahocorasick.Automaton:
         if key not in _built:
             _built.clear()
@@ -106,17 +109,13 @@ def _scan(patterns, key: str, width: int):
                 spans.append(_spans(text.decode("utf-8"), found) if found else [])
                 hits.append(sorted(found))
                 items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    texts,
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(n_words, pa.int64()),
-                ],
-                names=["id", "text", "spans", "items", "hit", "n_words"],
-            )
+            spans, items, n_words = pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64())
+            if last:
+                n_hit = pa.array(map(len, hits), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, n_words, n_hit, spans, items], names=["id", "n_words", "n_hit", "spans", "items"])
+            else:
+                hits = pa.array(hits, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, texts, spans, items, hits, n_words], names=["id", "text", "spans", "items", "hit", "n_words"])
 
     return run
 
@@ -156,20 +155,16 @@ def find_contamination(
         F.lit(None).cast("array<int>").alias("hit"),
         F.lit(None).cast("long").alias("n_words"),
     )
-    first = True
-    for block in _blocks(items, item_id, item_text, width, block_bytes):
-        if not first:
-            frame = materialize(frame, "scan")
+    blocks = _blocks(items, item_id, item_text, width, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         patterns = spark.sparkContext.broadcast(block)  # bounded by block_bytes
-        frame = frame.mapInArrow(_scan(patterns, uuid.uuid4().hex, width), STATE)
-        first = False
-    return frame.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.size("hit").cast("long").alias("n_hit"),
-        F.col("spans").alias("hit_spans"),
-        F.col("items").alias("item_ids"),
-    )
+        frame = frame.mapInArrow(_scan(patterns, uuid.uuid4().hex, after is None), FOUND if after is None else STATE)
+        if after is not None:
+            frame = materialize(frame, "scan")
+        block = after
+    return frame.select(F.col("id").alias(id_col), "n_words", "n_hit", F.col("spans").alias("hit_spans"), F.col("items").alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -192,7 +187,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
 
 
 def _keep(patterns, key: str, at: int):
-    scan = _scan(patterns, key, 0)
+    scan = _scan(patterns, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

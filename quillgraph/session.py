@@ -61,12 +61,15 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
 def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
     """Lets at most so much cross to Python at a time in this session; smaller settings stay.
 
-    Arrow's buffers are pooled, so an executor keeps what its largest batches took, beside the heap.
+    Arrow's buffers are pooled, so an executor keeps what its largest batches took, beside the heap. Parquet's reader is held
+    to as many rows at a time: its column vectors double until a batch of whole texts fits, in single blocks of the heap.
     """
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    if int(conf.get("spark.sql.parquet.columnarReaderBatchSize")) > rows:
+        conf.set("spark.sql.parquet.columnarReaderBatchSize", rows)
 
 
 def materialize(df: DataFrame, label: str = "t", rows: int | None = None, shrink: int = 1) -> DataFrame:

@@ -60,3 +60,13 @@ def test_empty_tables(spark):
     none, docs = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(DOCS[:2], "doc_id long, text string")
     assert [r.contaminated for r in d.op10(docs, none).collect()] == [False, False]
     assert d.op10(docs.limit(0), none).collect() == []
+
+
+def test_the_last_scan_returns_no_texts_and_the_reader_keeps_to_the_batches(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a b")], "item_id string, text string")
+    found = d.find_contamination(docs, items)
+    scan = next(x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow" in x)
+    assert "text#" not in scan[scan.rindex("[") :]
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
+    assert [tuple(r)[:3] for r in found.collect()] == [(1, 3, 2)]
