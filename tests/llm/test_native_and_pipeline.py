@@ -163,3 +163,12 @@ def test_stage_names_may_clash(spark):
     assert mixed.columns == [*df.columns, "n_tokens", "weight"] and {x[6] for x in mixed.collect()} <= {3}
     kept = corpus_pipeline.ngram_join(spark, df, SF)
     assert kept.columns == df.columns and kept.count() == 8
+
+
+def test_scratch_tables_have_no_marker_file(spark):
+    import os
+
+    from quillgraph.session import materialize
+
+    df = materialize(spark.range(3), "marker")
+    assert df.count() == 3 and not [x for x in os.listdir(df._quill_path.removeprefix("file:")) if "SUCCESS" in x]
