@@ -248,6 +248,22 @@ def test_communities_of_two_cliques(spark):
     assert len({got[f"a{i}"] for i in range(5)}) == 1 and len({got[f"b{i}"] for i in range(5)}) == 1 and got["a1"] != got["b1"]
 
 
+def test_cones_as_bits_equal_cones_as_pairs(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 1500, (2500, 2)).tolist()]
+    e = spark.createDataFrame(pairs, "src string, dst string").withColumn("relationship", F.lit("calls"))
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(1100)], "node string")  # more than a block holds
+    member = spark.createDataFrame([(f"n{i}", f"c{i % 3}" if i % 7 else None) for i in range(1500)], "node string, capability string")
+    cone = graph.traverse(e, seeds, 3).where("depth > 0")
+    wanted = cone.join(member.where("capability is not null"), "node").groupBy("seed", "capability").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
+    got = capability.exercise_counts(e, seeds, member, 3)
+    assert values(got, "seed", "capability", "direct", "transitive") == values(wanted, "seed", "capability", "direct", "transitive")
+    per = cone.groupBy("depth").agg(F.count("*").alias("pairs"), F.countDistinct("node").alias("nodes"))
+    assert values(capability.depth_distribution(e, seeds, 3), "depth", "pairs", "nodes") == values(per, "depth", "pairs", "nodes")
+    _, levels = graph.reach_bits(e, seeds, 3)
+    assert levels.where("depth = 1").count() < cone.where("depth = 1").count()  # rows are for blocks of seeds, not for pairs
+
+
 def test_consensus_and_stable_clusters(spark):
     a = spark.createDataFrame([(i, i // 3) for i in range(9)], "node long, cluster int")
     b = spark.createDataFrame([(i, i // 3 + 5) for i in range(9)], "node long, cluster int")
