@@ -309,41 +309,100 @@ def merge_small(membership: DataFrame, links: DataFrame, least: int) -> DataFram
 def consensus(labelings: list[tuple[DataFrame, float]], clusters: int, most: int = 3000) -> DataFrame:
     """node, cluster by average linkage on weighted, row-normalised co-occurrence (CL13, CL15).
 
-    For at most `most` nodes, counted first: linkage needs the matrix in one place.
+    Nodes with the same clusters in all labelings are one class. Only the classes, at most `most` and counted first, reach
+    the driver; the linkage is that of the single nodes. A cluster's number is its smallest node's place among all nodes;
+    a class gives its smallest nodes away first, and of equal pairs the one whose classes begin with smaller nodes is merged.
     """
     if len(labelings) == 1:
         return labelings[0][0].toDF("node", "cluster")
     spark = labelings[0][0].sparkSession
     rows = None
-    for k, (x, w) in enumerate(labelings):
-        one = x.toDF("node", "cluster").select("node", F.lit(k).alias("k"), F.col("cluster").cast("string").alias("cluster"), F.lit(float(w)).alias("w"))
+    for k, (x, _) in enumerate(labelings):
+        one = x.toDF("node", "cluster").select("node", F.when(F.col("cluster").isNotNull(), F.struct(F.lit(k).alias("k"), F.col("cluster").cast("string").alias("cluster"))).alias("x"))
         rows = one if rows is None else rows.unionByName(one)
-    if rows.select("node").distinct().limit(most + 1).count() > most:
-        raise ValueError(f"consensus linkage takes at most {most} nodes")
-    pdf = rows.toPandas()
-    nodes = sorted(pdf["node"].unique())
-    at = {x: i for i, x in enumerate(nodes)}
-    m = np.zeros((len(nodes), len(nodes)))
-    for _, part in pdf.groupby(["k", "cluster"]):
-        i = part["node"].map(at).to_numpy()
-        m[np.ix_(i, i)] += part["w"].iloc[0]
-    m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-12)
-    m = (m + m.T) / 2
-    size, alive, owner = np.ones(len(nodes)), list(range(len(nodes))), np.arange(len(nodes))
-    s = m.copy()
-    np.fill_diagonal(s, -np.inf)
-    while len(alive) > max(1, clusters):
-        i, j = divmod(int(s.argmax()), len(nodes))
-        i, j = min(i, j), max(i, j)
-        s[i] = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        s[:, i] = s[i]
-        s[i, i] = -np.inf
-        s[j], s[:, j] = -np.inf, -np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-        alive.remove(j)
-    kind = dict(labelings[0][0].toDF("node", "cluster").dtypes)["node"]
-    return spark.createDataFrame([(x.item() if hasattr(x, "item") else x, int(owner[at[x]])) for x in nodes], f"node {kind}, cluster int")
+    classes = rows.where("node is not null").groupBy("node").agg(F.array_sort(F.collect_set("x")).alias("x")).select("node", "x", F.sha2(F.to_json("x"), 256).alias("class"))
+    classes = materialize(classes, "classes")
+    known = classes.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.first("x").alias("x")).limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"consensus linkage takes at most {most} combinations of clusters")
+    known.sort(key=lambda r: r["first"])
+    column = {x: i for i, x in enumerate(sorted({tuple(x) for r in known for x in r["x"]}))}
+    has = np.zeros((len(known), len(column)))
+    for i, r in enumerate(known):
+        has[i, [column[tuple(x)] for x in r["x"]]] = 1
+    n = np.array([r["n"] for r in known], np.int64)
+    m = has * np.array([float(labelings[k][1]) for k, _ in column]) @ has.T
+    m /= np.maximum(m @ n, 1e-12)[:, None]
+    parts = [(known[p]["class"], start, stop, g) for g, pieces in enumerate(_linked(n, (m + m.T) / 2, clusters)) for p, start, stop in pieces]
+    shape = "class string, start long, stop long, g long"
+    whole = {r["class"]: r["n"] for r in known}
+    at_once = [x for x in parts if x[2] - x[1] == whole[x[0]]]
+    cut = spark.createDataFrame([x for x in parts if x[2] - x[1] < whole[x[0]]], shape)
+    place = F.row_number().over(Window.partitionBy("class").orderBy("node"))
+    dealt = classes.join(F.broadcast(cut.select("class").distinct()), "class", "left_semi").select("class", "node", place.alias("place"))
+    owned = (
+        classes.join(F.broadcast(spark.createDataFrame(at_once, shape)), "class").select("node", "g")
+        .unionByName(dealt.join(F.broadcast(cut), "class").where("place > start and place <= stop").select("node", "g"))
+    )
+    owned = materialize(owned, "consensus")
+    least = owned.groupBy("g").agg(F.min("node").alias("least"))
+    before = owned.select("node").join(F.broadcast(least), F.col("node") < F.col("least")).groupBy("g").agg(F.count("*").alias("n"))  # a row for each cluster
+    number = least.join(before, "g", "left").select("g", F.coalesce("n", F.lit(0)).cast("int").alias("cluster"))
+    return owned.join(F.broadcast(number), "g").select("node", "cluster")
+
+
+def _linked(n: np.ndarray, s: np.ndarray, clusters: int) -> list[list[tuple[int, int, int]]]:
+    """Average linkage of n[p] equal nodes of each class p down to so many clusters: lists of (class, from, to) of its nodes.
+
+    A row of s is a class whose left nodes are single, or one cluster. Of two classes the one whose nodes have the smaller
+    row sums is more similar inside, so it is one cluster, or one node, before the other's nodes join it one by one.
+    """
+    own, left, taken, size = s.diagonal().copy(), n.copy(), np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+    pieces: list[list[tuple[int, int, int]]] = [[] for _ in n]
+    np.fill_diagonal(s, np.where(left > 1, own, -np.inf))
+
+    def take(p: int, k: int) -> list[tuple[int, int, int]]:
+        taken[p] += k
+        return [(p, int(taken[p] - k), int(taken[p]))]
+
+    more = int(n.sum()) - max(1, clusters)  # merges
+    while more > 0:
+        i, j = divmod(int(s.argmax()), len(n))
+        if left[i] > 1 and left[j] > 1:
+            p = i if own[i] >= own[j] else j
+            k = min(int(left[p]) - 1, more)
+            pieces[p], size[p], left[p], s[p, p] = take(p, k + 1), k + 1, 1, -np.inf
+            more -= k
+            continue
+        a, b = (i, j) if left[i] == 1 else (j, i)
+        pieces[a] = pieces[a] or take(a, 1)
+        if left[b] == 1:
+            k, joined = 1, int(size[b])
+            pieces[a], pieces[b] = pieces[a] + (pieces[b] or take(b, 1)), []
+            inside = 0.0
+        else:  # as many at once as join before any other pair is more similar
+            rest = s.copy()
+            rest[a], rest[:, a] = -np.inf, -np.inf
+            other = np.delete(s[a], [a, b])
+            gap = np.append(size[a] * (s[a, b] - other), size[a] * (s[a, b] - rest.max()))
+            slope = np.append(own[b] - np.delete(s[b], [a, b]), own[b] - rest.max())
+            falls = slope < 0
+            until = np.min(np.maximum(gap[falls], 0) / -slope[falls], initial=float(more))
+            k = joined = int(min(left[b], more, int(until) + 1))
+            pieces[a] = pieces[a] + take(b, k)
+            inside = own[b]
+        with_b = (size[a] * s[a, b] + joined * inside) / (size[a] + joined)
+        s[a] = (size[a] * s[a] + joined * s[b]) / (size[a] + joined)
+        s[a, b], s[a, a] = with_b, -np.inf
+        s[:, a] = s[a]
+        size[a] += joined
+        left[b] -= k
+        more -= k
+        if left[b] == 0:
+            s[b], s[:, b] = -np.inf, -np.inf
+        elif left[b] == 1:
+            s[b, b] = -np.inf
+    return [x for x in pieces if x] + [take(p, 1) for p in range(len(n)) for _ in range(int(n[p] - taken[p]))]
 
 
 def term_counts(names: DataFrame, group: str, name: str) -> DataFrame:

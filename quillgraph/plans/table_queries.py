@@ -676,7 +676,7 @@ def cl13(spark, sf):
     rows = table(spark, sf, "embeddings").where("label is not null")
     a = rows.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))
     b = cluster.semantic_clusters(rows, "vec_id", "embedding", 10).toDF("node", "cluster")
-    return cluster.consensus([(a, 0.5), (b, 0.3)], 10, most=20_000)
+    return cluster.consensus([(a, 0.5), (b, 0.3)], 10)
 
 
 @query("cl4_stable_clusters")

@@ -273,6 +273,33 @@ def test_consensus_and_stable_clusters(spark):
     assert values(cluster.stable_clusters(runs, 0.9), "cluster") == {0, 3, 6}
 
 
+def test_consensus_links_classes_as_single_nodes(spark):
+    rng = np.random.default_rng(0)
+    n, clusters = 40, 4
+    a = (rng.random(n) ** 2 * 6).astype(int)
+    b = np.where(rng.random(n) < 0.5, a, (rng.random(n) ** 2 * 5).astype(int))
+    together = 0.5 * (a[:, None] == a) + 0.3 * (b[:, None] == b)
+    s = together / together.sum(1)[:, None]
+    number = {x: i for i, x in enumerate(dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)))}
+    of = np.array([number[x] for x in zip(a.tolist(), b.tolist(), strict=True)])
+    apart = rng.random((len(number), len(number))) * 1e-7  # no two pairs of classes are equally similar
+    s = (s + s.T) / 2 + (apart + apart.T)[np.ix_(of, of)]
+    groups = [[i] for i in range(n)]
+    while len(groups) > clusters:
+        x, y = max(((x, y) for y in range(len(groups)) for x in range(y)), key=lambda p: (round(s[np.ix_(groups[p[0]], groups[p[1]])].mean(), 12), -p[0], -p[1]))
+        groups[x] = sorted(groups[x] + groups.pop(y))
+    first = [int(np.flatnonzero(of == p)[0]) for p in range(len(number))]
+    linked = cluster._linked(np.bincount(of), s[np.ix_(first, first)].copy(), clusters)
+    assert sorted(sorted(int(np.flatnonzero(of == p)[k]) for p, start, stop in g for k in range(start, stop)) for g in linked) == sorted(groups)
+
+
+def test_consensus_takes_many_nodes_of_few_classes(spark):
+    one = spark.range(5000).select(F.col("id").alias("node"), (F.col("id") % 5).alias("cluster"))
+    two = spark.range(5000).select(F.col("id").alias("node"), F.when(F.col("id") % 50 > 0, F.col("id") % 5).alias("cluster"))
+    got = {r.node: r.cluster for r in cluster.consensus([(one, 0.5), (two, 0.3)], 5).collect()}
+    assert got == {i: i % 5 for i in range(5000)}
+
+
 def test_evaluation(spark):
     results = spark.createDataFrame([("q", i, float(10 - i)) for i in range(10)], "query string, id long, score double")
     expected = spark.createDataFrame([("q", 2), ("q", 50), ("none", 1)], "query string, id long")
