@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars, text, vectors
-from quillgraph.operators import capability, cluster, etl, evaluate, graph, models, retrieval
+from quillgraph.operators import capability, cluster, cones, etl, evaluate, graph, models, retrieval
 from quillgraph.operators.tools import Tools
 from tests.fixtures import call_graph, edges, entities
 
@@ -330,3 +330,29 @@ def test_tools(spark):
     with pytest.raises(ValueError):
         t.search("x", top_k=0)
     assert json.loads(t.stats().toJSON().collect()[0])["n"] >= 1
+
+
+def test_cones_of_whole_numbers_cross_no_shuffle_by_edge(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = [(a - 700, b - 700) for a, b in rng.integers(0, 1500, (4000, 2)).tolist()]
+    e = spark.createDataFrame(pairs + pairs[:9] + [(None, 1), (1, None)], "src long, dst long").withColumn("relationship", F.lit("calls"))
+    seeds = spark.createDataFrame([(i - 700,) for i in [*range(1100), 5, 5000]] + [(None,)], "node long")
+    member = spark.createDataFrame([(i - 700, f"c{i % 3}" if i % 7 else None) for i in [*range(1500), 8]], "node long, capability string")  # 8 has two
+    cone = graph.traverse(e, seeds.where("node is not null"), 4).where("depth > 0").cache()
+    wanted = cone.join(member.where("capability is not null"), "node").groupBy("seed", "capability").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
+    wanted = values(wanted, "seed", "capability", "direct", "transitive")
+    monkeypatch.setattr(graph, "reach_bits", None)  # whose hops shuffle a row of bits for each edge
+    for most in (cones.BYTES, 1000):  # whole blocks, and blocks halved to 64 seeds
+        monkeypatch.setattr(cones, "BYTES", most)
+        assert values(capability.exercise_counts(e, seeds, member, 4), "seed", "capability", "direct", "transitive") == wanted
+
+
+def test_blocks_halve_where_they_take_much_memory_and_ones_count_bits(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 100, 257):
+        bits = rng.integers(0, 1 << 63, (3, n), dtype=np.uint64)
+        assert cones.ones(bits).tolist() == [sum(int(x) >> b & 1 for x in w) for w in bits for b in range(64)]
+    e = spark.createDataFrame([(a, b) for a in range(300) for b in (a + 1, a + 300)], "node long, member long")
+    table = cones.Lists(list(cones.lists(e).inputFiles()))
+    for most, sizes in ((cones.BYTES, [300]), (1000, [64, 64, 64, 64, 44])):
+        assert [len(part) for part, _ in cones._walk(table, np.arange(300), 3, most)] == sizes
