@@ -341,10 +341,14 @@ def test_cones_of_whole_numbers_cross_no_shuffle_by_edge(spark, monkeypatch):
     cone = graph.traverse(e, seeds.where("node is not null"), 4).where("depth > 0").cache()
     wanted = cone.join(member.where("capability is not null"), "node").groupBy("seed", "capability").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
     wanted = values(wanted, "seed", "capability", "direct", "transitive")
+    depths = values(cone.groupBy("depth").agg(F.count("*").alias("pairs"), F.countDistinct("node").alias("nodes")), "depth", "pairs", "nodes")
     monkeypatch.setattr(graph, "reach_bits", None)  # whose hops shuffle a row of bits for each edge
     for most in (cones.BYTES, 1000):  # whole blocks, and blocks halved to 64 seeds
         monkeypatch.setattr(cones, "BYTES", most)
         assert values(capability.exercise_counts(e, seeds, member, 4), "seed", "capability", "direct", "transitive") == wanted
+        assert values(capability.depth_distribution(e, seeds, 4), "depth", "pairs", "nodes") == depths
+    assert capability.exercise_counts(e.limit(0), seeds, member, 4).count() == capability.depth_distribution(e, seeds.limit(0), 4).count() == 0
+    assert capability.depth_distribution(e.limit(0), seeds, 4).count() == 0
 
 
 def test_blocks_halve_where_they_take_much_memory_and_ones_count_bits(spark):
