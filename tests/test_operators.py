@@ -351,7 +351,7 @@ def test_cones_of_whole_numbers_cross_no_shuffle_by_edge(spark, monkeypatch):
     assert capability.depth_distribution(e.limit(0), seeds, 4).count() == 0
 
 
-def test_blocks_halve_where_they_take_much_memory_and_ones_count_bits(spark):
+def test_blocks_halve_where_they_take_much_memory_and_ones_count_bits(spark, monkeypatch):
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 4, 100, 257):
         bits = rng.integers(0, 1 << 63, (3, n), dtype=np.uint64)
@@ -360,3 +360,8 @@ def test_blocks_halve_where_they_take_much_memory_and_ones_count_bits(spark):
     table = cones.Lists(list(cones.lists(e).inputFiles()))
     for most, sizes in ((cones.BYTES, [300]), (1000, [64, 64, 64, 64, 44])):
         assert [len(part) for part, _ in cones._walk(table, np.arange(300), 3, most)] == sizes
+    whole = cones._next(table, (np.arange(300), np.ones((2, 300), np.uint64)), np.inf)
+    assert whole[0].tolist() == list(range(1, 600)) and cones._next(table, (np.arange(300), np.ones((2, 300), np.uint64)), 9000) is None  # 599 nodes of 16 bytes
+    monkeypatch.setattr(cones, "READ", 7)
+    parts = cones._next(table, (np.arange(300), np.ones((2, 300), np.uint64)), np.inf)
+    assert all((x == y).all() for x, y in zip(whole, parts))
